@@ -93,31 +93,39 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _scan_texts(texts: list[str | None], sent: list) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    """Number of words, merged word ranges hit, items of each text."""
+    lines, sizes = [], []
+    for t in texts:
+        words = normal_words(t or "")
+        sizes.append(len(words))
+        lines.append(" " + b" ".join(words).decode("latin-1") + " ")
+    found: list[tuple[list, set]] = [([], set()) for _ in texts]
+    for block in sent:
+        automaton = _automaton(block)
+        for line, (ranges, items) in zip(lines, found):
+            r, i = hits_of(line, automaton)
+            if r:
+                ranges += r
+                items |= i
+    return [(n, _merge(ranges), items) for n, (ranges, items) in zip(sizes, found)]
+
+
+def _send(benchmark: DataFrame, window: int, block_windows: int) -> list:
+    sc = benchmark.sparkSession.sparkContext
+    return [sc.broadcast((uuid.uuid4().hex, b)) for b in blocks_of(benchmark, window, block_windows)]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2, block_windows: int = 40_000) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted), spans (in the original)."""
-    sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast((uuid.uuid4().hex, b)) for b in blocks_of(benchmark, window, block_windows)]
+    sent = _send(benchmark, window, block_windows)
     kinds = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b)):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            lines, sizes = [], []
-            for t in texts:
-                words = normal_words(t)
-                sizes.append(len(words))
-                lines.append(" " + b" ".join(words).decode("latin-1") + " ")
-            found: list[tuple[list, set]] = [([], set()) for _ in texts]
-            for block in sent:
-                automaton = _automaton(block)
-                for line, (ranges, items) in zip(lines, found):
-                    r, i = hits_of(line, automaton)
-                    if r:
-                        ranges += r
-                        items |= i
-            rows = []
-            for doc, text, n, (ranges, items) in zip(batch.column(0).to_pylist(), texts, sizes, found):
-                ranges, names, spans = _merge(ranges), sorted(items), []
+            texts, rows = batch.column(1).to_pylist(), []
+            for doc, text, (n, ranges, items) in zip(batch.column(0).to_pylist(), texts, _scan_texts(texts, sent)):
+                names, spans = sorted(items), []
                 if ranges:
                     at = [m.span() for m in WORD.finditer(text)]
                     spans = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in ranges]
@@ -125,3 +133,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds.types)], schema=kinds)
 
     return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), scan, SCHEMA)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2, block_windows: int = 40_000) -> DataFrame:
+    """The rows of docs with windows of fewer than min_items items; all columns pass through the scan, nothing is shuffled."""
+    sent = _send(benchmark, window, block_windows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in slices(b)):
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([len(items) < min_items for _, _, items in _scan_texts(texts, sent)], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
