@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,12 +33,16 @@ from .tokens import TextEncoder, default_tokenizer
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
-    """The multiset of the counted lengths with the largest sum of at most room; longer lengths are tried first."""
+def fullest(counts: dict[int, int], room: int, order: list[int] | None = None) -> dict[int, int]:
+    """The multiset of the counted lengths with the largest sum of at most room; longer lengths are tried first.
+
+    order: the lengths, ascending, if they are known; a length of no count may be among them."""
     mask, reach = (1 << room + 1) - 1, 1
     steps: list[tuple[int, int, int]] = []  # reach before, length, copies
     target = 1 << room
-    for length in sorted((x for x in counts if x <= room), reverse=True):
+    order = sorted(counts) if order is None else order
+    for i in range(bisect_right(order, room) - 1, -1, -1):
+        length = order[i]
         left, copies = min(counts[length], room // length), 1
         while left and not reach & target:
             copies = min(copies, left)
@@ -60,7 +65,9 @@ class Packer:
 
     def __init__(self, capacity: int, first_sequence: int):
         self.capacity, self.next = capacity, first_sequence
-        self.pool: dict[int, list[tuple]] = defaultdict(list)
+        self.pool: dict[int, list[tuple]] = {}
+        self.counts: dict[int, int] = {}
+        self.order: list[int] = []  # lengths in the pool, ascending
         self.held = 0
         self.rows: list[tuple] = []
 
@@ -73,15 +80,20 @@ class Packer:
             self._keep((doc, whole // 4, ids[whole:], total))
 
     def _keep(self, piece: tuple) -> None:
-        self.pool[len(piece[2]) // 4].append(piece)
+        length = len(piece[2]) // 4
+        if length not in self.pool:
+            self.pool[length], self.counts[length] = [], 0
+            insort(self.order, length)
+        self.pool[length].append(piece)
+        self.counts[length] += 1
         self.held += 1
 
     def _take(self, length: int) -> tuple:
-        pieces = self.pool[length]
-        piece = pieces.pop()
-        if not pieces:
-            del self.pool[length]
+        piece = self.pool[length].pop()
+        self.counts[length] -= 1
         self.held -= 1
+        if not self.counts[length]:
+            del self.pool[length], self.counts[length], self.order[bisect_left(self.order, length)]
         return piece
 
     def _sequence(self, pieces: list[tuple]) -> None:
@@ -95,19 +107,19 @@ class Packer:
     def pack(self, leave: int, last: bool = False) -> None:
         """Write windows until `leave` pieces remain or, unless this is the last call, none can be filled."""
         while self.held > leave:
-            counts = {k: len(v) for k, v in self.pool.items()}
-            largest = max(counts)
-            counts[largest] -= 1
-            pattern = fullest({k: v for k, v in counts.items() if v}, self.capacity - largest)
+            largest = self.order[-1]
+            self.counts[largest] -= 1
+            pattern = fullest(self.counts, self.capacity - largest, self.order)
+            self.counts[largest] += 1
             pattern[largest] = pattern.get(largest, 0) + 1
             slack = self.capacity - sum(k * v for k, v in pattern.items())
             if slack and not last:
                 return
-            times = 1 if slack else min(len(self.pool[k]) // v for k, v in pattern.items())
+            times = 1 if slack else min(self.counts[k] // v for k, v in pattern.items())
             for _ in range(times):
                 pieces = [self._take(k) for k, v in sorted(pattern.items(), reverse=True) for _ in range(v)]
                 if slack and self.held:  # every piece left is longer than the slack
-                    doc, start, ids, total = self._take(max(self.pool))
+                    doc, start, ids, total = self._take(self.order[-1])
                     pieces.append((doc, start, ids[: 4 * slack], total))
                     self._keep((doc, start + slack, ids[4 * slack :], total))
                 elif slack:

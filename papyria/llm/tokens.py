@@ -1,8 +1,9 @@
 """Token ids of texts, and Simple-8b files of ids.
 
-TextEncoder gives the ids that the tokenizers library gives, but sends each distinct piece of a batch to it once:
-a byte-level BPE never joins across a single blank between two words, so the text is cut there and the pieces'
-ids are kept in a bounded cache. Texts where a run of white space could cross a cut go to the library whole.
+TextEncoder gives the ids that the tokenizers library gives, but runs its BPE on each distinct word once: a byte-level
+BPE never joins across a single blank between two words, so the text is cut there, and the ids of pieces and of the
+words in them are kept in bounded caches. A text where a run of white space touches a cut, or that may hold a special
+token, goes to the library whole, as do all texts of a tokenizer of another kind.
 
 A block is `PS8B`, version, the number of documents, ids and words, a checksum, then doc ids, a null mask, ids per
 document and the 64-bit words. The upper four bits of a word are the selector: how many ids of how many bits the
@@ -12,20 +13,24 @@ Every block ends with a document, so it is decoded alone, and one selector at a
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, shared_path, slices, small_batches
 
-_CROSSING = re.compile(r"\s \s|  ")
+#: How a byte-level BPE cuts a text before its merges.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
 def default_tokenizer() -> str:
@@ -34,20 +39,50 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Whole(Exception):
+    """A text that can't be cut into pieces."""
+
+
+class _Aging(dict):
+    """A cache of two generations: what was not used while `most` others came is forgotten."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class TextEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    MOST = 400_000
+    MOST = 300_000
     _made: dict[str, TextEncoder] = {}
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        state = json.loads(self.tokenizer.to_str())
+        pre = state["pre_tokenizer"] or {}
+        # the byte-level form of each byte, as the library writes its vocabulary
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shown = dict(zip([*plain, *(x for x in range(256) if x not in set(plain))], map(chr, [*plain, *range(256, 324)])))
+        self.shown = {k: v for k, v in shown.items() if chr(k) != v}
+        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not state["normalizer"]
+        self.part = regex.compile(_PARTS)
+        self.words = _Aging(self._word, self.MOST)
+        self.pieces = _Aging(self._piece, self.MOST)
 
     @classmethod
     def of(cls, path: str) -> TextEncoder:
@@ -59,27 +94,30 @@ class TextEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        """A pre-token: the library's BPE on it."""
+        return _PACK[n](*(t.id for t in found)) if (n := len(found := self.model.tokenize(word.encode().decode("latin-1").translate(self.shown)))) < 32 else np.array([t.id for t in found], "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """A blank and the next word; a piece marked by \\0 starts the text and has no blank."""
+        word = piece[1:] if piece[:1] == "\0" else piece
+        if not word or word[0].isspace() or word[-1].isspace() or "<|" in word or "\0" in word:
+            raise _Whole
+        if word is piece:
+            word = " " + word
+        return b"".join(map(self.words.__getitem__, self.part.findall(word)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        known, out, whole, cut = self.known, [b""] * len(texts), [], []
+        get, out, whole = self.pieces.__getitem__, [], []
         for i, t in enumerate(texts):
-            if "<|" in t or _CROSSING.search(t):
+            head, *rest = t.split(" ")
+            try:
+                if t and not self.cuts:
+                    raise _Whole
+                out.append(get("\0" + head) + b"".join(map(get, rest)) if t else b"")
+            except (_Whole, UnicodeEncodeError):
                 whole.append(i)
-            elif t:
-                head, *rest = t.split(" ")
-                # a piece is a blank and a word; the first piece has no blank and is marked to tell it from those
-                cut.append((i, "\0" + head, rest))
-        missing = {p for _, head, rest in cut for p in rest if p not in known}
-        heads = {head for _, head, _ in cut if head not in known}
-        if missing or heads:
-            names = sorted(missing)
-            known.update(zip(names, self._library([" " + p for p in names])))
-            names = sorted(heads)
-            known.update(zip(names, self._library([h[1:] for h in names])))
-        get = known.__getitem__
-        for i, head, rest in cut:
-            out[i] = known[head] + b"".join(map(get, rest))
+                out.append(b"")
         if whole:
             for i, ids in zip(whole, self._library([texts[i] for i in whole])):
                 out[i] = ids

@@ -1,6 +1,526 @@
-"""Registered queries and their DuckDB SQL."""
+"""Registered queries of the document operators and, where SQL can express them, the same in DuckDB SQL.
+
+Ratios and scores are compared as integers or rounded late, and every order has a unique last key."""
+
+from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as t
+from ..operators import answer, audit, chunk, clean, evaluate, group, opinions, quality, repair, search
+from ..sources.tables import VectorTable, merged
+from . import fixtures as fx
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# ------------------------------------------------------------------ vectors
+def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return [float(x) for x in fx.read(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).first()["embedding"]]
+
+
+_COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+
+
+@query(f"""
+WITH q AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1),
+s AS (SELECT e.vec_id, e.label, {_COS} AS sc FROM embeddings e, q WHERE e.label IN (1, 3, 5, 7) AND e.vec_id > 0),
+r AS (SELECT *, row_number() OVER (ORDER BY sc DESC, vec_id) AS rank FROM s)
+SELECT vec_id, label, round(sc, 6) AS score, CAST(rank AS INT) AS rank, (SELECT max(sc) FROM s) < 0.3 AS refused FROM r WHERE rank <= 5""")
+def vector_topk_filtered(spark, sf_dir):
+    """Filter below scoring, exact top five, refusal flag."""
+    spec = {"$and": [{"label": {"$in": [1, 3, 5, 7]}}, {"vec_id": {"$gt": 0}}]}
+    hits = search.search(fx.read(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 5, spec, "vec_id")
+    gate = hits.agg((F.max("score") < search.REFUSAL).alias("refused"))
+    return hits.crossJoin(F.broadcast(gate)).select("vec_id", "label", F.round("score", 6).alias("score"), "rank", "refused")
+
+
+@query(f"""
+SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, round({_COS}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank
+  FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 5""")
+def vector_topk_batch(spark, sf_dir):
+    """The five nearest of every vector for a stated set of queries: ids divisible by 50."""
+    e = fx.read(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return search.search_many(e, queries, 5, id_column="vec_id", exclude_same_id=True).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+_FILTERS = {
+    "eq": ({"lang": {"$eq": "en"}}, "lang = 'en'"),
+    "ne": ({"lang": {"$ne": "en"}}, "lang <> 'en'"),
+    "in": ({"source": {"$in": ["src0", "src7"]}}, "source IN ('src0', 'src7')"),
+    "nin": ({"source": {"$nin": ["src0", "src7"]}}, "source NOT IN ('src0', 'src7')"),
+    "gt": ({"n_chars": {"$gt": 2000}}, "n_chars > 2000"),
+    "lt": ({"n_chars": {"$lt": 300}}, "n_chars < 300"),
+    "and": ({"$and": [{"lang": "fr"}, {"n_chars": {"$gt": 500, "$lt": 5000}}]}, "lang = 'fr' AND n_chars > 500 AND n_chars < 5000"),
+    "or": ({"$or": [{"lang": "de"}, {"$and": [{"source": "src3"}, {"n_chars": {"$lt": 900}}]}]}, "lang = 'de' OR (source = 'src3' AND n_chars < 900)"),
+}
+
+
+@query("SELECT " + q("x") + " AS f, 0::BIGINT AS docs, 0::BIGINT AS chars WHERE false " + " ".join(f"UNION ALL SELECT '{k}', count(*), coalesce(sum(n_chars), 0)::BIGINT FROM documents WHERE {w}" for k, (_, w) in _FILTERS.items()))
+def filter_dsl_ops(spark, sf_dir):
+    """All eight operators of the filter language, in one scan."""
+    d = fx.read(spark, sf_dir, "documents")
+    tests = {k: search.compile_filter(spec, d.schema) for k, (spec, _) in _FILTERS.items()}
+    wide = d.agg(*[F.struct(F.count_if(c).alias("docs"), F.coalesce(F.sum(F.when(c, F.col("n_chars"))), F.lit(0)).alias("chars")).alias(k) for k, c in tests.items()])
+    return wide.select(F.explode(F.create_map(*[x for k in tests for x in (F.lit(k), F.col(k))])).alias("f", "v")).select("f", "v.docs", "v.chars")
+
+
+# ------------------------------------------------------------------ page quality
+_P = f"WITH p AS ({fx.PAGES}), m AS (SELECT *, CAST(length(regexp_replace(raw_text, '[^A-Za-z]', '', 'g')) AS INT) AS letters FROM p)"
+_BUCKET = "CASE WHEN conf_tenths >= 600 AND char_count > 0 AND round_even(letters / char_count, 3) >= 0.55 THEN 'clean' ELSE 'skipped' END"
+
+
+@query(_P + " SELECT doc_no, char_count, letters FROM m")
+def page_letter_ratio(spark, sf_dir):
+    p = fx.pages(spark, sf_dir)
+    return p.select("doc_no", "char_count", t.count_letters(F.col("raw_text")).alias("letters"))
+
+
+@query(_P + f" SELECT {_BUCKET} AS bucket, count(*) AS pages FROM m GROUP BY 1")
+def page_buckets(spark, sf_dir):
+    return quality.bucket_counts(fx.pages(spark, sf_dir))
+
+
+_TIER = "CASE WHEN char_count < 50 THEN 'EMPTY' WHEN round_even(letters / char_count, 3) < 0.55 OR conf_tenths < 500 THEN 'POOR' WHEN conf_tenths < 700 THEN 'REVIEW' WHEN conf_tenths < 850 THEN 'OK' ELSE 'GOOD' END"
+
+
+@query(_P + f" SELECT tier, count(*) AS pages, min(doc_no) AS first_doc FROM (SELECT *, {_TIER} AS tier FROM m) GROUP BY tier")
+def ocr_tiers(spark, sf_dir):
+    return quality.with_tiers(fx.pages(spark, sf_dir)).groupBy("tier").agg(F.count("*").alias("pages"), F.min("doc_no").alias("first_doc"))
+
+
+@query(_P + " SELECT b.bin, count(m.doc_no) AS pages FROM (SELECT CAST(unnest(range(0, 100, 10)) AS INT) AS bin) b LEFT JOIN m ON least(conf_tenths // 100 * 10, 90) = b.bin GROUP BY b.bin")
+def quality_histogram(spark, sf_dir):
+    return quality.histogram(fx.pages(spark, sf_dir))
+
+
+@query(_P + " SELECT count(*) AS n, min(conf_tenths / 10) AS min, max(conf_tenths / 10) AS max, round(avg(conf_tenths / 10), 6) AS mean, round(median(conf_tenths / 10), 6) AS median, round(stddev_pop(conf_tenths / 10), 6) AS stdev FROM m")
+def quality_summary(spark, sf_dir):
+    s = quality.summary(fx.pages(spark, sf_dir))
+    return s.select("n", "min", "max", *[F.round(c, 6).alias(c) for c in ("mean", "median", "stdev")])
+
+
+@query(_P + " SELECT doc_no, conf_tenths FROM m WHERE abs(conf_tenths - 600) <= 100")
+def band_filter(spark, sf_dir):
+    return quality.band(fx.pages(spark, sf_dir), 600, 100, "conf_tenths").select("doc_no", "conf_tenths")
+
+
+@query(_P + f" SELECT {_BUCKET} AS bucket, quality, count(*) AS pages FROM m JOIN labels ON doc_no = doc_id GROUP BY 1, 2")
+def bucket_vs_label(spark, sf_dir):
+    p = fx.pages(spark, sf_dir).select("doc_no", "bucket")
+    return p.join(fx.read(spark, sf_dir, "labels"), F.col("doc_no") == F.col("doc_id")).groupBy("bucket", "quality").agg(F.count("*").alias("pages"))
+
+
+@query(f"""
+WITH p AS ({fx.PAGES}), n AS (SELECT *, count(*) OVER (PARTITION BY source_stem) AS n, length(regexp_replace(raw_text, '[^A-Za-z]', '', 'g')) AS letters FROM p),
+g AS (SELECT source_stem, avg(char_count) AS c, avg(CASE WHEN char_count = 0 THEN 0 ELSE letters / char_count END) AS r FROM n WHERE page_no - 1 IN (1, 5, 10) OR page_no - 1 = n // 2 GROUP BY 1)
+SELECT source_stem, round(c, 4) AS avg_chars, CASE WHEN c > 200 AND r >= 0.55 THEN 'text' WHEN c > 200 THEN 'garbage' WHEN c > 20 THEN 'mixed' ELSE 'scanned' END AS verdict FROM g""")
+def layer_verdict(spark, sf_dir):
+    return quality.layer_verdict(fx.pages(spark, sf_dir)).select("source_stem", F.round("avg_chars", 4).alias("avg_chars"), "verdict")
+
+
+@query("""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) - 1 AS seq FROM documents),
+k AS (SELECT doc_id, seq, seq // 12 AS line, word, (seq * 7 + doc_id) % 101 - 1 AS conf FROM w),
+l AS (SELECT doc_id, line, string_agg(word, ' ' ORDER BY seq) AS txt, min(seq) AS f, sum(conf) AS s, count(*) AS c FROM k WHERE conf >= 0 GROUP BY 1, 2)
+SELECT doc_id, md5(string_agg(txt, chr(10) ORDER BY f)) AS digest, CAST(sum(s) AS BIGINT) AS conf_sum, CAST(sum(c) AS BIGINT) AS words FROM l GROUP BY 1""")
+def ocr_words_to_text(spark, sf_dir):
+    """Word rows with confidences (derived from documents) joined to lines and page text."""
+    d = fx.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.tokens(F.col("text"))).alias("seq", "word"))
+    conf = (F.col("seq") * 7 + F.col("doc_id")) % 101 - 1
+    w = d.select(F.col("doc_id").cast("string").alias("source_stem"), F.lit(1).alias("page_no"), "seq", F.lit(0).alias("block"), F.lit(0).alias("par"), F.floor(F.col("seq") / 12).alias("line"), "word", conf.alias("conf"))
+    pages = quality.words_to_pages(w).select(F.col("source_stem").cast("long").alias("doc_id"), F.md5(F.col("raw_text").cast("binary")).alias("digest"))
+    sums = w.where("conf >= 0").groupBy(F.col("source_stem").cast("long").alias("doc_id")).agg(F.sum("conf").alias("conf_sum"), F.count("*").alias("words"))
+    return pages.join(sums, "doc_id").select("doc_id", "digest", "conf_sum", "words")
+
+
+# ------------------------------------------------------------------ scalars, templates, facts
+@query("SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(text, '\\S+')) * 13 // 10) END AS INT) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return fx.read(spark, sf_dir, "documents").select("doc_id", t.token_estimate(F.col("text")).alias("tokens"))
+
+
+_FORMS = f"WITH f AS ({fx.FORMS})"
+_HEAD = "array_to_string(list_slice(string_split(raw_text, chr(10)), 1, 20), chr(10))"
+_TEMPLATE = "CASE " + " ".join(f"WHEN regexp_matches({_HEAD}, {q(p.replace('(?!\\d)', ''))}) THEN '{n}'" for n, p in clean.TEMPLATES) + " ELSE 'unknown' END"
+
+
+@query(f"{_FORMS} SELECT doc_no, {_TEMPLATE} AS template FROM f")
+def template_detect(spark, sf_dir):
+    return fx.forms(spark, sf_dir).select("doc_no", clean.template_of(F.col("raw_text")).alias("template"))
+
+
+@query(f"""{_FORMS}, g AS (SELECT {_TEMPLATE} AS template, page_no FROM f)
+SELECT template, count(*) AS pages, list_slice(list_sort(list(page_no)), 1, 8)::VARCHAR AS first_pages, greatest(count(*) - 8, 0) AS more FROM g GROUP BY 1""")
+def template_distribution(spark, sf_dir):
+    d = clean.template_distribution(fx.forms(spark, sf_dir).withColumn("template", clean.template_of(F.col("raw_text"))))
+    return d.select("template", "pages", F.concat(F.lit("["), F.array_join(F.col("first_pages").cast("array<string>"), ", "), F.lit("]")).alias("first_pages"), "more")
+
+
+def _masked(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, {q(t.REVISION_DATE)}, ' ', 'g'), '(?i)\\bGPO\\b\\s*[:.\\s][^\\n]*', ' ', 'g')"
+
+
+def _found(c: str, *patterns: str) -> str:
+    return "list_sort(list_distinct(" + " || ".join(f"regexp_extract_all({c}, {q(p)})" for p in patterns) + "))"
+
+
+@query(f"""{_FORMS}, m AS (SELECT doc_no, {_masked('raw_text')} AS t FROM f)
+SELECT doc_no, array_to_string({_found('t', *t.DATES)}, '|') AS dates, array_to_string({_found('t', t.DOLLARS)}, '|') AS dollars, array_to_string({_found('t', t.CASE_NUMBERS)}, '|') AS case_numbers FROM m""")
+def fact_extract(spark, sf_dir):
+    f = fx.forms(spark, sf_dir).select("doc_no", t.facts(F.col("raw_text")).alias("x"))
+    return f.select("doc_no", *[F.array_join(f"x.{k}", "|").alias(k) for k in ("dates", "dollars", "case_numbers")])
+
+
+@query(f"""{_FORMS}, m AS (SELECT doc_no, {_masked('raw_text')} AS t, {_masked("regexp_replace(raw_text, '[0-9]{4}', '', 'g')")} AS c FROM f)
+SELECT doc_no, array_to_string(list_sort(list_filter({_found('t', *t.DATES)}, lambda x: NOT list_contains({_found('c', *t.DATES)}, x))), '|') AS lost_dates,
+ array_to_string(list_sort(list_filter({_found('t', t.CASE_NUMBERS)}, lambda x: NOT list_contains({_found('c', t.CASE_NUMBERS)}, x))), '|') AS lost_cases FROM m""")
+def fact_guardrail(spark, sf_dir):
+    """Facts that a lossy clean text (runs of four digits removed) no longer has."""
+    f = fx.forms(spark, sf_dir).select("doc_no", t.facts(F.col("raw_text")).alias("r"), t.facts(F.regexp_replace("raw_text", "[0-9]{4}", "")).alias("c"))
+    lost = lambda k: F.array_join(F.array_except(F.col("r")[k], F.col("c")[k]), "|")
+    return f.select("doc_no", lost("dates").alias("lost_dates"), lost("case_numbers").alias("lost_cases"))
+
+
+def _fact(c: str) -> str:
+    m = f"regexp_replace({c}, {q(t.REVISION_DATE)}, ' ', 'g')"
+    some = " OR ".join(f"regexp_matches({m}, {q(p)})" for p in (t.DOLLARS, t.CASE_NUMBERS, *t.DATES))
+    return f"(NOT regexp_matches({c}, '(?i)\\bGPO\\b') AND ({some}))"
+
+
+_ART = "(length(x) >= 3 AND NOT " + _fact("x") + " AND (regexp_matches(x, '[@{}]|::') OR (regexp_matches(x, '\\p{L}') AND length(regexp_replace(x, '[\\p{L}\\p{N}]', '', 'g')) / length(x) > 0.3)))"
+
+
+@query(f"""
+WITH k AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM k),
+a AS (SELECT doc_id, i, x, {_ART} AS art FROM u),
+b AS (SELECT *, lag(art OR x = '[REDACTED]') OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM a)
+SELECT d.doc_id, CAST(count(*) FILTER (art AND NOT coalesce(prev, false)) AS INT) AS redactions,
+ md5(coalesce(string_agg(CASE WHEN art THEN '[REDACTED]' ELSE x END, ' ' ORDER BY i) FILTER (NOT (art AND coalesce(prev, false))), '')) AS digest
+FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id GROUP BY d.doc_id""")
+def redaction_labels(spark, sf_dir):
+    d = fx.read(spark, sf_dir, "documents")
+    text, n = clean.label_redactions(F.col("text"))
+    return d.select("doc_id", n.alias("redactions"), F.md5(text.cast("binary")).alias("digest"))
+
+
+_S = "regexp_replace(line, '^\\s+|\\s+$', '', 'g')"
+_LINE_CLASS = f"""CASE WHEN s = '' OR {_fact('s')} THEN 'kept'
+ WHEN length(s) <= 3 THEN CASE WHEN s IN ({', '.join(q(x) for x in clean.KEEP_SHORT)}) THEN 'kept' ELSE 'orphan' END
+ WHEN len(w) >= 6 AND len(list_filter(w, lambda x: length(x) > 4)) = 0 AND 2 * len(list_filter(w, lambda x: regexp_matches(x, '^[aeiouAEIOU]+$'))) >= len(w) THEN 'rule-artifact'
+ WHEN len(w) >= 6 AND 10 * len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]{{2,3}}$'))) >= 7 * len(w) THEN 'bureau-codes'
+ WHEN length(regexp_replace(s, '[^A-Za-z]', '', 'g')) / length(s) < 0.40 THEN 'soup' ELSE 'kept' END"""
+
+
+@query(f"""{_FORMS}, l AS (SELECT doc_no, {_S} AS s FROM (SELECT doc_no, unnest(string_split(raw_text, chr(10))) AS line FROM f)),
+k AS (SELECT doc_no, s, regexp_extract_all(s, '\\S+') AS w FROM l)
+SELECT doc_no, {_LINE_CLASS} AS class, count(*) AS n FROM k WHERE s <> '' GROUP BY 1, 2""")
+def line_drop_classes(spark, sf_dir):
+    ls = fx.forms(spark, sf_dir).select("doc_no", F.explode(t.lines(F.col("raw_text"))).alias("line")).where(t.strip(F.col("line")) != "")
+    return ls.groupBy("doc_no", F.coalesce(clean.drop_class(F.col("line")), F.lit("kept")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{_FORMS} SELECT doc_no, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(raw_text, {q(t.EXEMPTION)}), lambda x: lower(regexp_replace(x, '[()\\s]', '', 'g'))))), ',') AS exemptions FROM f WHERE doc_no % 11 = 6""")
+def deletion_exemptions(spark, sf_dir):
+    f = fx.forms(spark, sf_dir).where("doc_no % 11 = 6")
+    return f.select("doc_no", F.array_join(t.exemptions(F.col("raw_text")), ",").alias("exemptions"))
+
+
+@query(f"""{_FORMS}, l AS (SELECT doc_no, {_S} AS s FROM (SELECT doc_no, unnest(string_split(raw_text, chr(10))) AS line FROM f)),
+k AS (SELECT doc_no, s, regexp_extract_all(s, '\\S+') AS w, len(regexp_extract_all(s, {q(clean.STAMP)})) AS n FROM l)
+SELECT doc_no, count(*) AS stamps FROM k WHERE n >= 2 OR (n = 1 AND (regexp_matches(s, {q(clean.STAMP.removesuffix(chr(92) + 'b') + '[_' + chr(92) + 's]*_+')})
+ OR (len(w) <= 3 AND len(list_filter(w, lambda x: NOT regexp_matches(x, {q('(?i)^(?:' + clean._STAMPS + ')$')}) AND regexp_matches(x, '\\p{{L}}'))) = 0))) GROUP BY 1""")
+def stamp_lines(spark, sf_dir):
+    ls = fx.forms(spark, sf_dir).select("doc_no", F.explode(t.lines(F.col("raw_text"))).alias("line"))
+    return ls.where(clean.is_stamp(F.col("line"))).groupBy("doc_no").agg(F.count("*").alias("stamps"))
+
+
+@query()
+def clean_pages(spark, sf_dir):
+    """The whole cleaner on the form pages."""
+    c = clean.clean_pages(fx.forms(spark, sf_dir))
+    return c.select("source_stem", "page_no", "template", "template_confidence", "routed_to_missing_info", "deletion", "clipping", "clean_text", "boilerplate_lines_removed", "redactions_inserted", "cleaning_flags")
+
+
+@query()
+def group_documents(spark, sf_dir):
+    """The grouping state machine over every source."""
+    return fx.grouped(spark, sf_dir).select("source_stem", "page_no", "doc_id", "doc_kind", "doc_page_index", "doc_page_count")
+
+
+@query()
+def doc_summary(spark, sf_dir):
+    return group.doc_summaries(fx.grouped(spark, sf_dir))
+
+
+@query()
+def doc_size_classes(spark, sf_dir):
+    return group.doc_size_classes(group.doc_summaries(fx.grouped(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ chunks
+_ABBR = f"(^|[ \\t\\n])({'|'.join(chunk.ABBREVIATIONS)}|\\p{{Lu}})([.!?])(\\s)"
+_HELD = "text"
+for _ in range(2):
+    _HELD = f"regexp_replace({_HELD}, {q(_ABBR)}, '\\1\\2\\3' || chr(2) || '\\4', 'g')"
+_SENTS = f"""list_filter(list_transform(string_split(replace(regexp_replace({_HELD}, '([.!?])\\s+([A-Z\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(2), ''), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"""
+
+
+@query(f"WITH s AS (SELECT doc_id, {_SENTS} AS ss FROM documents) SELECT doc_id, CAST(len(ss) AS INT) AS sentences, md5(array_to_string(ss, chr(10))) AS digest FROM s")
+def sentence_split(spark, sf_dir):
+    s = fx.read(spark, sf_dir, "documents").select("doc_id", chunk.sentences(F.col("text")).alias("ss"))
+    return s.select("doc_id", F.size("ss").alias("sentences"), F.md5(F.array_join("ss", "\n").cast("binary")).alias("digest"))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    g = fx.grouped(spark, sf_dir)
+    return g, chunk.build_chunks(g, group.doc_summaries(g))
+
+
+@query()
+def pack_chunks(spark, sf_dir):
+    return _chunks(spark, sf_dir)[1]
+
+
+_WHOLE_DOC = """WITH RECURSIVE d AS (SELECT doc_id, list_transform(ss, lambda x: greatest(1, len(regexp_extract_all(x, '\\S+')) * 13 // 10)) AS tok FROM (SELECT doc_id, {sents} AS ss FROM documents)),
+b AS (SELECT doc_id, tok, len(tok) AS n, list_sum(tok) AS total FROM d WHERE len(tok) > 0),
+u AS (SELECT doc_id, n, unnest(range(0, n + 1)) AS i, tok FROM b WHERE total > 600),
+p AS (SELECT doc_id, n, i, CAST(coalesce(sum(CASE WHEN i > 0 THEN tok[i] END) OVER (PARTITION BY doc_id ORDER BY i), 0) AS BIGINT) AS s FROM u),
+e AS (SELECT a.doc_id, a.n, a.i, a.s, greatest(a.i + 1, max(z.i)) AS j FROM p a JOIN p z ON a.doc_id = z.doc_id AND z.i BETWEEN a.i AND a.i + 501 AND z.s - a.s <= 500 WHERE a.i < a.n GROUP BY 1, 2, 3, 4),
+f AS (SELECT e.doc_id, e.n, e.i, e.j, z.s - e.s AS tokens, z.s AS at FROM e JOIN p z ON z.doc_id = e.doc_id AND z.i = e.j),
+g AS (SELECT f.doc_id, f.n, f.i, f.j, f.tokens, greatest(f.i + 1, coalesce(max(z.i), 0)) AS nxt FROM f LEFT JOIN p z ON z.doc_id = f.doc_id AND z.i BETWEEN f.i AND f.j AND f.at - z.s >= 100 GROUP BY 1, 2, 3, 4, 5),
+r AS (SELECT doc_id, 1 AS k, i, j, tokens, nxt, n FROM g WHERE i = 0 UNION ALL SELECT g.doc_id, r.k + 1, g.i, g.j, g.tokens, g.nxt, g.n FROM r JOIN g ON g.doc_id = r.doc_id AND g.i = r.nxt AND r.j < r.n)"""
+_WHOLE_DOC = _WHOLE_DOC.replace("{sents}", _SENTS)
+
+
+@query(f"""{_WHOLE_DOC} SELECT doc_id, CAST(k AS INT) AS piece, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(tokens AS INT) AS tokens FROM r
+UNION ALL SELECT doc_id, 1, 0, CAST(n AS INT), CAST(total AS INT) FROM b WHERE total <= 600""")
+def pack_bounds(spark, sf_dir):
+    """Sentence ranges of each document's chunks: whole documents up to 600 tokens, else 500 with 100 of overlap."""
+    s = fx.read(spark, sf_dir, "documents").select("doc_id", F.transform(chunk.sentences(F.col("text")), lambda x: F.struct(x.alias("s"), F.lit(1).alias("page"), t.token_estimate(x).alias("tok"))).alias("sents"))
+    s = s.withColumn("tok", F.transform("sents", lambda x: x["tok"])).withColumn("total", F.aggregate("tok", F.lit(0), lambda a, x: a + x)).where("total > 0")
+    from ..operators.packing import pack_sentences
+
+    big = s.where("total > 600").select("doc_id", "tok", F.posexplode(pack_sentences(F.col("tok"))).alias("k", "b"))
+    part = F.aggregate(F.slice("tok", F.col("b.i") + 1, F.col("b.j") - F.col("b.i")), F.lit(0), lambda a, x: a + x)
+    big = big.select("doc_id", (F.col("k") + 1).alias("piece"), "b.i", "b.j", part.alias("tokens"))
+    return big.unionByName(s.where("total <= 600").select("doc_id", F.lit(1).alias("piece"), F.lit(0).alias("i"), F.size("sents").alias("j"), F.col("total").alias("tokens")))
+
+
+@query()
+def chunk_stats(spark, sf_dir):
+    return chunk.chunk_stats(_chunks(spark, sf_dir)[1])
+
+
+@query()
+def chunk_integrity(spark, sf_dir):
+    return audit.chunk_integrity(_chunks(spark, sf_dir)[1])
+
+
+@query()
+def chunk_audit(spark, sf_dir):
+    """Chunks with faults, redaction load and labels."""
+    c = audit.with_chunk_faults(_chunks(spark, sf_dir)[1])
+    return c.select("chunk_id", "faults").join(audit.redaction_load(c), "chunk_id")
+
+
+@query()
+def coverage_gap(spark, sf_dir):
+    return audit.coverage_gaps(*_chunks(spark, sf_dir))
+
+
+@query("""
+SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source""")
+def metadata_value_counts(spark, sf_dir):
+    d = fx.read(spark, sf_dir, "documents").select(F.lit(None).cast("string").alias("doc_kind"), F.col("lang").alias("doc_template"), F.col("source").alias("source_stem"))
+    c = audit.metadata_counts(d).where("field <> 'doc_kind'")
+    return c.select(F.when(F.col("field") == "doc_template", "lang").otherwise("source").alias("field"), "value", F.col("chunks").alias("n"))
+
+
+@query("""
+WITH k AS (SELECT source, CAST(n_chars AS BIGINT) AS c, row_number() OVER (ORDER BY n_chars) AS r, count(*) OVER () AS n FROM documents)
+SELECT min(c) FILTER (r > n // 4) AS q1, min(c) FILTER (r > n // 2) AS q2, min(c) FILTER (r > 3 * n // 4) AS q3 FROM k""")
+def nearest_rank_quartiles(spark, sf_dir):
+    """Element n*k//4 of the sorted values, from counts of distinct values."""
+    return chunk._rank_of(fx.read(spark, sf_dir, "documents"), "n_chars", {"q1": (1, 4), "q2": (1, 2), "q3": (3, 4)})
+
+
+# ------------------------------------------------------------------ html, repair, index
+@query()
+def html_sections(spark, sf_dir):
+    """Sections and chunks of pages, with <h1> as the heading tag."""
+    p = fx.read(spark, sf_dir, "pages")
+    body = F.regexp_replace(F.regexp_replace("html", r"(?s)^.*?<article>", "<div>"), r"(?s)</article>.*$", "</div>")
+    o = p.select(F.col("page_id").cast("string").alias("slug"), body.alias("html"), F.lit(1).alias("start_page"), F.lit("?").alias("cite"), F.lit(None).cast("string").alias("docket"))
+    return opinions.opinion_chunks(o, heading="h1")
+
+
+def _as_docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of ten pages each: (docs, pages) in the stage schemas."""
+    view = fx.pages(spark, sf_dir)
+    n = F.floor((F.col("page_no") - 1) / 10)
+    pages = view.select("source_stem", "page_no", F.concat("source_stem", F.format_string("__doc-%03d", n + 1)).alias("doc_id"), F.lit("loose").alias("doc_kind"), (F.pmod(F.col("page_no") - 1, F.lit(10)) + 1).cast("int").alias("doc_page_index"), F.lit(10).alias("doc_page_count"))
+    docs = pages.groupBy("source_stem", "doc_id").agg(F.first("doc_kind").alias("kind"), F.array_sort(F.collect_list("page_no")).alias("page_nos"), F.count("*").cast("int").alias("page_count"))
+    return docs.withColumns({"first_template": F.lit("unknown"), "case_nums": F.array(F.regexp_replace("doc_id", "[^0-9]", ""))}), pages
+
+
+_DOCS = f"WITH p AS ({fx.PAGES}), g AS (SELECT source_stem, page_no, source_stem || '__doc-' || lpad(CAST((page_no - 1) // 10 + 1 AS VARCHAR), 3, '0') AS doc_id FROM p)"
+
+
+@query(f"{_DOCS} SELECT doc_id, CASE WHEN doc_id LIKE '%__doc-002' THEN 'legal' WHEN doc_id = 'src1__doc-001' THEN 'memo' ELSE 'loose' END AS kind, count(*) AS pages FROM g GROUP BY 1")
+def doc_reclassify(spark, sf_dir):
+    docs, pages = _as_docs(spark, sf_dir)
+    kinds = docs.where("doc_id LIKE '%__doc-002'").select("doc_id", F.lit("legal").alias("new_kind")).unionByName(spark.createDataFrame([("src1__doc-001", "memo"), ("no such", "memo")], "doc_id string, new_kind string"))
+    _, p, _ = repair.reclassify(docs, pages, kinds)
+    return p.groupBy("doc_id", F.col("doc_kind").alias("kind")).agg(F.count("*").alias("pages"))
+
+
+@query(f"""{_DOCS}, h AS (SELECT source_stem, page_no, CASE WHEN doc_id IN ('src1__doc-002', 'src1__doc-003') THEN 'src1__doc-001' ELSE doc_id END AS doc_id FROM g)
+SELECT source_stem, page_no, doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS INT) AS doc_page_index,
+ CASE WHEN doc_id = 'src1__doc-001' AND page_no = 2 AND (SELECT max(page_no) FROM h WHERE doc_id = 'src1__doc-001') > 10 THEN '{repair.WITHHELD}' END AS inline_placeholder FROM h""")
+def doc_merge(spark, sf_dir):
+    docs, pages = _as_docs(spark, sf_dir)
+    spec = spark.createDataFrame([("src1__doc-001", [f"src1__doc-00{i}" for i in (1, 2, 3)], [2], "teletype", "FD-36", "rolled up"), ("missing", ["x"], [], "memo", None, "")], repair.SPEC)
+    _, p = repair.merge_documents(docs, pages, spec)
+    return p.select("source_stem", "page_no", "doc_id", "doc_page_index", "inline_placeholder")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM documents UNION ALL SELECT 'n' || doc_id, 'new' FROM documents WHERE doc_id % 3 = 0")
+def upsert_idempotent(spark, sf_dir):
+    """Old rows, then the same upsert twice: every key is there once."""
+    d = fx.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("_id"), "doc_id")
+    third = d.where("doc_id % 3 = 0")
+    new = third.unionByName(third.withColumn("_id", F.concat(F.lit("n"), "_id"))).withColumn("version", F.lit("new"))
+    once = merged(d.withColumn("version", F.lit("old")), new)
+    return merged(once, new).select(F.col("_id").alias("id"), "version")
+
+
+# ------------------------------------------------------------------ answers and evaluation
+_ANS = f"WITH a AS ({fx.ANSWERS.replace('array[', '[').replace('named(', '(')})"
+_CITE = q(t.CITATION)
+_REF = f"(refused OR (regexp_matches(lower(answer), {q(evaluate.REFUSAL_PHRASES)}) AND NOT regexp_matches(answer, {_CITE})))"
+_EXPECT = "CASE WHEN bucket = 0 THEN [] ELSE ['doc-' || CAST(bucket % 3 AS VARCHAR)] END"
+_CHECKED = f"""{_ANS}, b AS (SELECT *, {_REF} AS r, {_EXPECT} AS want, bucket % 4 = 3 AS shy, list_distinct(regexp_extract_all(answer, {_CITE}, 1)) AS cited FROM a),
+c AS (SELECT id, r, r = shy AS refusal_correct, CASE WHEN len(want) > 0 THEN list_has_any(hits, want) END AS top_doc_match, CASE WHEN NOT r THEN len(cited) > 0 END AS citations_present,
+ CASE WHEN NOT r AND len(cited) > 0 THEN list_has_all(hits, cited) END AS citations_grounded FROM b),
+s AS (SELECT *, coalesce(refusal_correct, true) AND coalesce(top_doc_match, true) AND coalesce(citations_present, true) AND coalesce(citations_grounded, true) AS passed FROM c)"""
+
+
+@query(f"{_ANS} SELECT id, {_REF} AS refusal FROM a")
+def refusal_classifier(spark, sf_dir):
+    return fx.answers(spark, sf_dir).select("id", evaluate.is_refusal(F.col("refused"), F.col("answer")).alias("refusal"))
+
+
+@query(f"{_CHECKED} SELECT id, refusal_correct, top_doc_match, citations_present, citations_grounded, passed FROM s")
+def citation_grounding(spark, sf_dir):
+    return evaluate.with_checks(fx.answers(spark, sf_dir)).select("id", *evaluate.CHECKS, "passed")
+
+
+@query(f"{_CHECKED} SELECT count(*) FILTER (passed) AS passed, count(*) AS total, " + ", ".join(f"count(*) FILTER ({c}) AS {c}_pass, count(*) FILTER (NOT {c}) AS {c}_fail, count(*) FILTER ({c} IS NULL) AS {c}_na" for c in evaluate.CHECKS) + " FROM s")
+def eval_suite(spark, sf_dir):
+    return evaluate.suite_summary(evaluate.with_checks(fx.answers(spark, sf_dir)))
+
+
+_PRICES = [("small", 0.5, 2.0), ("large", 3.0, 15.0)]
+
+
+@query("""
+WITH u AS (SELECT CASE conv_id % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' ELSE 'other' END AS model, length(text) AS i, turn * 10 AS o FROM conversations)
+SELECT model, count(*) AS calls, round(sum((i * coalesce(p.a, 0) + o * coalesce(p.b, 0)) / 1000000.0), 6) AS cost_usd FROM u LEFT JOIN (VALUES ('small', 0.5::DOUBLE, 2.0::DOUBLE), ('large', 3.0::DOUBLE, 15.0::DOUBLE)) p(m, a, b) ON m = model GROUP BY 1""")
+def cost_by_model(spark, sf_dir):
+    c = fx.read(spark, sf_dir, "conversations")
+    model = F.when(F.pmod("conv_id", F.lit(3)) == 0, "small").when(F.pmod("conv_id", F.lit(3)) == 1, "large").otherwise("other")
+    u = c.select(model.alias("model"), F.length("text").alias("input_tokens"), (F.col("turn") * 10).alias("output_tokens"))
+    prices = spark.createDataFrame(_PRICES, "model string, input_price double, output_price double")
+    return answer.costs(u, prices).groupBy("model").agg(F.count("*").alias("calls"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+
+
+def _qa(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = fx.read(spark, sf_dir, "embeddings")
+    d = fx.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "text", "source")
+    v = e.join(d, F.col("vec_id") == F.col("k")).select(F.format_string("c%06d", "vec_id").alias("chunk_id"), "embedding", F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("doc_id"), F.lit("loose").alias("doc_kind"), F.array((F.col("vec_id") % 9).cast("int")).alias("page_nos"), F.array("source").alias("case_nums"), F.left("text", F.lit(80)).alias("text"))
+    qs = e.where("vec_id % 100 = 7").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("what about "), F.col("label").cast("string")).alias("question"), F.col("embedding").alias("q"))
+    return qs, v
+
+
+_HITS = f"""WITH v AS (SELECT e.vec_id, e.label, e.embedding, d.text, d.source FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+h AS (SELECT q.vec_id AS query_id, q.label AS ql, e.*, {_COS} AS sc, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, printf('c%06d', e.vec_id)) AS rk FROM v e, embeddings q WHERE q.vec_id % 100 = 7)"""
+
+
+@query(f"""{_HITS}
+SELECT query_id, md5('DOCUMENT EXCERPTS:' || chr(10) || chr(10) || string_agg('[' || rk || '] doc-' || vec_id || ' | pages ' || (vec_id % 9) || ' | kind=loose | case#=' || source || ' | retrieval_score=' || printf('%.3f', sc) || chr(10) || left(text, 80), chr(10) || chr(10) ORDER BY rk)
+ || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'QUESTION: what about ' || any_value(ql) || chr(10) || chr(10) || {q(answer.REMINDER)}) AS digest FROM h WHERE rk <= 3 GROUP BY query_id""")
+def prompt_assembly(spark, sf_dir):
+    qs, v = _qa(spark, sf_dir)
+    hits = search.search_many(v, qs.select("query_id", "q"), 3).join(v.drop("embedding"), "chunk_id")
+    return answer.prompts(qs, hits).select("query_id", F.md5(F.col("prompt").cast("binary")).alias("digest"))
+
+
+@query(f"{_HITS} SELECT query_id, max(sc) < 0.3 AS refused, CAST(count(*) AS INT) AS hits FROM h WHERE rk <= 5 GROUP BY query_id")
+def answer_loop(spark, sf_dir):
+    """Retrieve, gate, assemble, generate (offline), price."""
+    qs, v = _qa(spark, sf_dir)
+    prices = spark.createDataFrame(_PRICES, "model string, input_price double, output_price double")
+    return answer.answer_questions(qs, v, prices, "small").select("query_id", "refused", F.size("hits").alias("hits"))
+
+
+# ------------------------------------------------------------------ audits
+_SIG = audit.signals()
+_ASCII_SAFE = {k: p for k, p in _SIG.items() if k not in ("height_weight", "proper_noun_run", "routing")}
+
+
+@query(f"{_FORMS} SELECT doc_no, " + ", ".join(f"regexp_matches(raw_text, {q(p)}) AS {k}" for k, p in _ASCII_SAFE.items()) + " FROM f WHERE regexp_matches(raw_text, '^[\\x00-\\x7F]*$')")
+def fact_signals(spark, sf_dir):
+    """Signals on the ASCII pages, where the two engines' word boundaries agree."""
+    f = fx.forms(spark, sf_dir).where(t.non_ascii(F.col("raw_text")) == 0).select("doc_no", audit.fact_signals(F.col("raw_text"), _ASCII_SAFE).alias("tags"))
+    return f.select("doc_no", *[F.array_contains("tags", k).alias(k) for k in _ASCII_SAFE])
+
+
+@query()
+def lost_fact_lines(spark, sf_dir):
+    return audit.lost_fact_lines(clean.clean_pages(fx.forms(spark, sf_dir)))
+
+
+@query()
+def residual_noise(spark, sf_dir):
+    c = clean.clean_pages(fx.forms(spark, sf_dir))
+    return c.select("source_stem", "page_no", F.inline(audit.residual_noise(F.col("clean_text"))))
+
+
+@query()
+def audit_counts(spark, sf_dir):
+    return audit.audit_counts(clean.clean_pages(fx.forms(spark, sf_dir)))
+
+
+@query("""
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def event_windows(spark, sf_dir):
+    """Extension: tumbling windows of events, in batch form."""
+    e = fx.read(spark, sf_dir, "events")
+    w = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total"))
+    return w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "events", "total")
+
+
+__all__ = ["ORACLES", "QUERIES", "VectorTable"]
