@@ -222,8 +222,8 @@ SELECT d.doc_id, CAST(count(*) FILTER (art AND NOT coalesce(prev, false)) AS INT
 FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id GROUP BY d.doc_id""")
 def redaction_labels(spark, sf_dir):
     d = fx.read(spark, sf_dir, "documents")
-    text, n = clean.label_redactions(F.col("text"))
-    return d.select("doc_id", n.alias("redactions"), F.md5(text.cast("binary")).alias("digest"))
+    u = d.select("doc_id", clean.redaction_units(F.col("text")).alias("u"))
+    return u.select("doc_id", clean.n_labels(F.col("u")).alias("redactions"), F.md5(clean.labelled_text(F.col("u")).cast("binary")).alias("digest"))
 
 
 _S = "regexp_replace(line, '^\\s+|\\s+$', '', 'g')"
