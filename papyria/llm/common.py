@@ -92,3 +92,21 @@ def words_of(text: Column) -> Column:
     """Maximal runs of [^\\x20\\x09-\\x0D]; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t\\n\\x0B\\f\\r]+"))
+
+
+#: Bits of a membership filter: 8 MB when broadcast, whatever the input.
+FILTER_BITS = 26
+
+
+def with_maybe(docs: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
+    """docs plus __maybe: false if the id is surely not in ids (one column of longs), so the row needs no shuffled join.
+
+    ids set bits by a hash in 2048 bitmaps of a fixed size, which are broadcast; a null id is in no set."""
+    at = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
+    p = at(ids.columns[0])
+    marks = ids.where(F.col(ids.columns[0]).isNotNull()).select(p.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    here = at(F.col(id_column).cast("long"))
+    place = F.bitmap_bit_position(here).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0, F.lit(False))
+    return docs.join(F.broadcast(marks), F.bitmap_bucket_number(here) == F.col("__bucket"), "left").withColumn("__maybe", bit & F.col(id_column).isNotNull()).drop("__bucket", "__bits")

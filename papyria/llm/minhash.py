@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, stored
+from .common import map_arrow, slices, stored, with_maybe
 from .windows import Buffer, mix
 
 BANDS, ROWS = 36, 5
@@ -134,7 +134,9 @@ def links_within(ids: list[int], sets: list[np.ndarray], percent: int) -> list[t
 
 def confirmed(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """Edges a, b. members: node, cluster, places array<struct<i, j>> (the block pairs that the node takes part in)."""
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(members, F.col("doc_id") == F.col("node")).select("node", "cluster", "places", "text")
+    # a filter of a fixed size keeps the texts of documents without a candidate out of the shuffle
+    texts = with_maybe(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), "doc_id", members.select("node")).where("__maybe").drop("__maybe")
+    texts = texts.join(members, F.col("doc_id") == F.col("node")).select("node", "cluster", "places", "text")
     kinds = pa.schema([("cluster", pa.int64()), ("places", pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))), ("node", pa.int64()), ("shingles", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +182,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     sizes = found.groupBy("component").agg((F.count("*") + 1).alias("n")).select(F.col("component").alias("cluster"), F.ceil(F.col("n") / cluster).cast("int").alias("g"))
     mine = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
     places = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda q: F.struct(F.least(q, F.col("p")).alias("i"), F.greatest(q, F.col("p")).alias("j")))
-    members = all_nodes.join(sizes, F.col("component") == F.col("cluster")).withColumn("p", mine).select("node", "cluster", places.alias("places"))
+    members = stored(all_nodes.join(sizes, F.col("component") == F.col("cluster")).withColumn("p", mine).select("node", "cluster", places.alias("places")), "members")
     final = components(confirmed(docs, members, k, percent), "linked")
     named = classes.join(final.select(F.col("node").alias("x"), "component"), F.col("node") == F.col("x"), "left").select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), F.coalesce("component", "node").alias("component"))
     d = sig.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("f1")).alias("f1"), "f2")
@@ -190,5 +192,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that near_duplicates keeps, one row for each kept id and text of repeated rows."""
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = stored(near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")), "gone")
+    d = with_maybe(docs, "doc_id", gone)  # most documents are surely kept and are not shuffled
+    sure, rest = d.where("not __maybe").drop("__maybe"), d.where("__maybe").drop("__maybe")
+    return sure.unionByName(rest.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti"))
