@@ -78,7 +78,8 @@ class TextEncoder:
         # the byte-level form of each byte, as the library writes its vocabulary
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = dict(zip([*plain, *(x for x in range(256) if x not in set(plain))], map(chr, [*plain, *range(256, 324)])))
-        self.shown = {k: v for k, v in shown.items() if chr(k) != v}
+        self.shown = {chr(k): v for k, v in shown.items()}
+        self.bytes_shown = {k: v for k, v in shown.items() if chr(k) != v}
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not state["normalizer"]
         self.part = regex.compile(_PARTS)
         self.words = _Aging(self._word, self.MOST)
@@ -96,10 +97,18 @@ class TextEncoder:
 
     def _word(self, word: str) -> bytes:
         """A pre-token: the library's BPE on it."""
-        return _PACK[n](*(t.id for t in found)) if (n := len(found := self.model.tokenize(word.encode().decode("latin-1").translate(self.shown)))) < 32 else np.array([t.id for t in found], "<u4").tobytes()
+        blank = word[0] == " "
+        if word.isascii() and (word[1:] if blank else word).isalnum():
+            shown = self.shown[" "] + word[1:] if blank else word
+        else:
+            shown = word.encode().decode("latin-1").translate(self.bytes_shown)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return _PACK[len(ids)](*ids) if len(ids) < 32 else np.array(ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
         """A blank and the next word; a piece marked by \\0 starts the text and has no blank."""
+        if piece.isascii() and piece.isalpha():  # one pre-token
+            return self.words[" " + piece]
         word = piece[1:] if piece[:1] == "\0" else piece
         if not word or word[0].isspace() or word[-1].isspace() or "<|" in word or "\0" in word:
             raise _Whole
@@ -128,31 +137,37 @@ class TextEncoder:
 LAYOUT = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}
 
 
+def _bits(v: np.ndarray) -> np.ndarray:
+    """The width of the narrowest selector that holds each value, or more than the widest one."""
+    widths = np.array(sorted({b for _, b in LAYOUT.values()}), np.uint64)
+    return np.append(widths, 61).astype(np.uint8)[np.searchsorted((np.uint64(1) << widths) - np.uint64(1), v)]
+
+
+_BITS = _bits(np.arange(1 << 17, dtype=np.uint64))
+
+
 def simple8b_encode(values: np.ndarray) -> np.ndarray:
     """Greedy: each word takes the most values that fit. values: unsigned, up to 64 bits."""
     v = np.ascontiguousarray(values).astype(np.uint64, copy=False)
     n = len(v)
     if not n:
         return np.zeros(0, np.uint64)
-    bits = np.zeros(n, np.uint8)
-    for b in sorted({b for _, b in LAYOUT.values()} | {0}):
-        bits[v >> np.uint64(b) > 0] = b + 1
-    # largest bit class in the next k values, by doubling
-    runs = {1: bits}
-    k = 1
-    while k * 2 <= 60:
-        p = runs[k]
-        runs[k * 2] = np.maximum(p[: max(0, len(p) - k)], p[k:]) if len(p) > k else p[:0]
-        k *= 2
-    selector = np.zeros(n, np.uint8)
+    bits = _BITS[v] if int(v.max()) < len(_BITS) else _bits(v)
+    # what fits a selector fits every larger one, of fewer and wider ids: how many fit gives the densest
+    fits = np.zeros(n, np.uint8)
+    most, k = bits, 1  # the most bits in the next k values
     for s in sorted(LAYOUT, reverse=True):
         count, width = LAYOUT[s]
-        p = 1 << (count.bit_length() - 1)
+        while 2 * k <= count and len(most) > k:
+            most, k = np.maximum(most[:-k], most[k:]), 2 * k
         have = n - count + 1
         if have <= 0:
-            continue
-        most = runs[p][:have] if p == count else np.maximum(runs[p][:have], runs[p][count - p : count - p + have])
-        selector[:have][most <= width] = s
+            break
+        fit = most[:have] <= width if count == k else np.maximum(most[:have], most[count - k : count - k + have]) <= width
+        if not fit.any():
+            break
+        fits[:have] += fit.view(np.uint8)
+    selector = np.where(fits > 0, np.uint8(len(LAYOUT) + 1) - fits, np.uint8(0))
     step = np.array([1] + [LAYOUT[s][0] for s in sorted(LAYOUT)], np.uint8)[selector].tobytes()
     starts, at = [], 0
     put = starts.append
