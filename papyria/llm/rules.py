@@ -16,18 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, stored, words_of
+from .common import WS, stored, with_maybe, words_of
 
 BITS = 16
 #: Mean log ratio under which a document is rejected.
 THRESHOLD = -0.1
-#: Bound of the trusted target: so many labelled good documents, the first in the order of a hash of the id.
-TARGET_DOCS = 20_000
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, words, and wh: a 64-bit hash of each word."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", words_of(F.col("text"))).withColumn("wh", F.transform("words", lambda w: F.xxhash64(w)))
+def _hashed(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, text, words, and wh: a 64-bit hash of each word; and the columns to keep."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep).withColumn("words", words_of(F.col("text"))).withColumn("wh", F.transform("words", lambda w: F.xxhash64(w)))
 
 
 def _window(k: int) -> Column:
@@ -45,9 +43,12 @@ def _ngrams(bits: int) -> Column:
 def ngram_weights(docs: DataFrame, target_ids: DataFrame, bits: int = BITS) -> DataFrame:
     """One row (weights array<double>): log p_target - log p_raw of each bucket, both with add-one smoothing.
 
-    target_ids: doc_id, distinct, of a bounded number; they are broadcast."""
-    mark = F.broadcast(target_ids.select("doc_id", F.lit(1).alias("__t")))
-    grams = _hashed(docs).join(mark, "doc_id", "left").select(F.coalesce("__t", F.lit(0)).alias("t"), F.explode(_ngrams(bits)).alias("b"))
+    target_ids: doc_id, distinct, of any number. Documents that are surely not among them stay out of the join."""
+    d = with_maybe(docs.select("doc_id", "text"), "doc_id", target_ids)
+    mark = target_ids.select(F.col("doc_id").alias("__id"), F.lit(1).alias("__t")).hint("merge")
+    maybe = d.where("__maybe").join(mark, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.coalesce("__t", F.lit(0)).alias("t"))
+    marked = maybe.unionAll(d.where("not __maybe").select("doc_id", "text", F.lit(0).alias("t")))
+    grams = _hashed(marked, "t").select("t", F.explode(_ngrams(bits)).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
     every = docs.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("b"))
     full = stored(every.join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good")), "ngram-counts")
@@ -95,13 +96,13 @@ def base_counts(d: DataFrame) -> DataFrame:
     )
 
 
-def good_ids(labels: DataFrame, most: int = TARGET_DOCS) -> DataFrame:
-    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def good_ids(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = THRESHOLD, min_words: int = 50, repeat_pct: int = 50, target_docs: int = TARGET_DOCS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = THRESHOLD, min_words: int = 50, repeat_pct: int = 50) -> DataFrame:
     """doc_id, base counts, ngram_score double, base_failed, kept."""
-    weights = ngram_weights(docs, good_ids(labels, target_docs), bits)
+    weights = ngram_weights(docs, good_ids(labels), bits)
     d = base_counts(_hashed(docs)).withColumn("__g", _ngrams(bits))
     # one literal array of a fixed size; Catalyst folds this projection into the next one, so no row holds a copy
     d = d.withColumn("__table", weights.scalar())

@@ -294,3 +294,11 @@ def test_base_counts(spark, docs):
         assert not (r["kept"] and r["base_failed"])
     assert rules.quality_rules(cases.empty(spark), labels.where("false")).count() == 0
     assert all(r["kept"] != r["base_failed"] for r in rows_of(rules.quality_rules(docs, labels.where("false"))))
+
+
+def test_every_good_document_is_in_the_target(spark):
+    """If all documents are labelled good, target and raw corpus are the same, and every score is 0."""
+    docs = spark.range(20_050).selectExpr("id as doc_id", "concat('word w', id) as text")
+    labels = docs.selectExpr("doc_id", "1 as quality")
+    scores = [r["ngram_score"] for r in rules.quality_rules(docs, labels).collect()]
+    assert len(scores) == 20_050 and max(map(abs, scores)) < 1e-12
