@@ -2,9 +2,9 @@
 
 Two multinomials over hashed word unigrams and bigrams are counted: the raw corpus (every document) and the
 trusted target (documents labelled good). A document's score is the mean over its n-grams of
-log p_target - log p_raw; it is kept if the score reaches a fixed threshold. Counting gathers at most 2 ** bits
-rows from each task; scoring is one scan without a shuffle, because the weights are an array of 2 ** bits
-doubles whose size does not depend on the data.
+log p_target - log p_raw; it is kept if the score reaches a fixed threshold. The number of buckets grows with the
+n-grams of the corpus, so a bucket holds PER_BUCKET of them at most on average, whatever the input. The weights are
+a table that n-grams are joined with: broadcast up to 2 ** BROADCAST_BITS buckets, shuffled beyond, with equal results.
 
 Defined results: a null or blank text has no words, score 0 and fails the base rule (fewer than min_words);
 repeated doc_ids are separate rows; without any labelled good document the verdict is true for all; without
@@ -18,7 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import WS, stored, with_maybe, words_of
 
-BITS = 16
+#: The least number of buckets is 2 ** LEAST_BITS.
+LEAST_BITS = 16
+#: Most n-grams of the corpus to a bucket; sf0.1, where the threshold was set, has 122 in each of 2 ** 16.
+PER_BUCKET = 128
+#: The weights of so many buckets are broadcast.
+BROADCAST_BITS = 22
 #: Mean log ratio under which a document is rejected.
 THRESHOLD = -0.1
 
@@ -36,12 +41,19 @@ def _window(k: int) -> Column:
 
 def _ngrams(bits: int) -> Column:
     """Bucket numbers of all words and word pairs."""
-    low = F.lit((1 << bits) - 1)
-    return F.transform(F.concat("wh", _window(2)), lambda h: h.bitwiseAND(low).cast("int"))
+    low = F.lit((1 << bits) - 1).cast("long")
+    return F.transform(F.concat("wh", _window(2)), lambda h: h.bitwiseAND(low))
 
 
-def ngram_weights(docs: DataFrame, target_ids: DataFrame, bits: int = BITS) -> DataFrame:
-    """One row (weights array<double>): log p_target - log p_raw of each bucket, both with add-one smoothing.
+def bucket_bits(docs: DataFrame, per_bucket: int = PER_BUCKET) -> int:
+    """The least bits, LEAST_BITS or more, with at most per_bucket n-grams of docs to each of 2 ** bits buckets."""
+    n = F.size(words_of(F.col("text"))).cast("long")
+    grams = docs.agg(F.sum(F.greatest(2 * n - 1, F.lit(0)))).first()[0] or 0
+    return max(LEAST_BITS, (-(-grams // per_bucket) - 1).bit_length())
+
+
+def ngram_weights(docs: DataFrame, target_ids: DataFrame, bits: int) -> DataFrame:
+    """b, w: log p_target - log p_raw of each bucket that docs fill, both with add-one smoothing over 2 ** bits buckets.
 
     target_ids: doc_id, distinct, of any number. Documents that are surely not among them stay out of the join."""
     d = with_maybe(docs.select("doc_id", "text"), "doc_id", target_ids)
@@ -49,14 +61,11 @@ def ngram_weights(docs: DataFrame, target_ids: DataFrame, bits: int = BITS) -> D
     maybe = d.where("__maybe").join(mark, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.coalesce("__t", F.lit(0)).alias("t"))
     marked = maybe.unionAll(d.where("not __maybe").select("doc_id", "text", F.lit(0).alias("t")))
     grams = _hashed(marked, "t").select("t", F.explode(_ngrams(bits)).alias("b"))
-    counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
-    every = docs.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("b"))
-    full = stored(every.join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good")), "ngram-counts")
-    total = full.agg(F.sum("raw").alias("raws"), F.sum("good").alias("goods"))
+    counts = stored(grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good")), "ngram-counts")
+    total = counts.agg(F.sum("raw").alias("raws"), F.sum("good").alias("goods"))
     size = F.lit(float(1 << bits))
     ratio = F.log((F.col("good") + 1) / (F.col("goods") + size)) - F.log((F.col("raw") + 1) / (F.col("raws") + size))
-    pairs = full.join(F.broadcast(total)).select("b", F.when(F.col("goods") == 0, 0.0).otherwise(ratio).alias("w"))
-    return stored(pairs.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "w"))), lambda x: x["w"]).alias("weights")), "ngram-weights")
+    return counts.join(F.broadcast(total)).select("b", F.when(F.col("goods") == 0, 0.0).otherwise(ratio).alias("w"))
 
 
 def _repeated(d: DataFrame) -> DataFrame:
@@ -100,13 +109,15 @@ def good_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = THRESHOLD, min_words: int = 50, repeat_pct: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, bits: int | None = None, threshold: float = THRESHOLD, min_words: int = 50, repeat_pct: int = 50, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
     """doc_id, base counts, ngram_score double, base_failed, kept."""
-    weights = ngram_weights(docs, good_ids(labels), bits)
-    d = base_counts(_hashed(docs)).withColumn("__g", _ngrams(bits))
-    # one literal array of a fixed size; Catalyst folds this projection into the next one, so no row holds a copy
-    d = d.withColumn("__table", weights.scalar())
-    total = F.aggregate("__g", F.lit(0.0), lambda a, g: a + F.get("__table", g))
+    bits = bucket_bits(docs) if bits is None else bits
+    weights = ngram_weights(docs, good_ids(labels), bits).hint("broadcast" if bits <= broadcast_bits else "merge")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    d = base_counts(_hashed(docs)).select(F.monotonically_increasing_id().alias("__row"), *columns, _ngrams(bits).alias("__g"))
+    # the counts go with a row's n-grams, so that the row is put together by one aggregation, mostly within its task
+    grams = d.select("__row", *columns, F.explode_outer("__g").alias("b"))
+    d = grams.join(weights, "b", "left").groupBy("__row", *columns).agg(F.sum("w").alias("__total"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_pct * F.col("n_words"))
-    d = d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(0.0).alias("ngram_score"), failed.alias("base_failed"))
+    d = d.select(*columns, F.when(F.col("n_words") > 0, F.col("__total") / (2 * F.col("n_words") - 1)).otherwise(0.0).alias("ngram_score"), failed.alias("base_failed"))
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("ngram_score") >= threshold))

@@ -302,3 +302,23 @@ def test_every_good_document_is_in_the_target(spark):
     labels = docs.selectExpr("doc_id", "1 as quality")
     scores = [r["ngram_score"] for r in rules.quality_rules(docs, labels).collect()]
     assert len(scores) == 20_050 and max(map(abs, scores)) < 1e-12
+
+
+@pytest.mark.parametrize("most", [22, 0])
+def test_buckets_grow_with_the_ngrams(spark, most):
+    """Two words of one bucket of 2 ** 16 are told apart in a corpus of over 128 * 2 ** 16 n-grams."""
+    from xxhash import xxh64_intdigest
+
+    seen = {}
+    for i in range(10_000):
+        w = f"w{i}"
+        h = xxh64_intdigest(w.encode(), seed=42)
+        if h & 0xFFFF in seen and (seen[h & 0xFFFF][1] ^ h) >> 16 & 1:
+            break
+        seen[h & 0xFFFF] = (w, h)
+    good, bad = seen[h & 0xFFFF][0], w
+    docs = spark.range(102).selectExpr("id as doc_id", f"repeat(case when id < 100 then 'filler ' when id = 100 then '{good} ' else '{bad} ' end, 43000) as text")
+    labels = docs.selectExpr("doc_id", "int(doc_id <> 101) as quality")
+    d = by_id(rules.quality_rules(docs, labels, **({} if most else {"broadcast_bits": 0})))
+    # 8.77 million n-grams: 2 ** 17 buckets; the bad word and its pair are never in the target
+    assert d[100]["ngram_score"] > 0 > d[101]["ngram_score"] + 9
