@@ -1,9 +1,10 @@
 """Token ids of texts, and Simple-8b files of ids.
 
 TextEncoder gives the ids that the tokenizers library gives, but runs its BPE on each distinct word once: a byte-level
-BPE never joins across a single blank between two words, so the text is cut there, and the ids of pieces and of the
-words in them are kept in bounded caches. A text where a run of white space touches a cut, or that may hold a special
-token, goes to the library whole, as do all texts of a tokenizer of another kind.
+BPE never joins across a single blank between two words, so a batch of texts is cut there, and only its distinct pieces
+are looked up in a bounded cache or encoded. A text where a run of white space touches a cut is cut by the tokenizer's
+own pattern instead; one that holds a special token goes to the library whole, as do all texts of a tokenizer of
+another kind.
 
 A block is `PS8B`, version, the number of documents, ids and words, a checksum, then doc ids, a null mask, ids per
 document and the 64-bit words. The upper four bits of a word are the selector: how many ids of how many bits the
@@ -15,12 +16,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,7 +34,6 @@ from .common import map_arrow, shared_path, slices, small_batches
 
 #: How a byte-level BPE cuts a text before its merges.
 _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
 def default_tokenizer() -> str:
@@ -39,32 +42,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Whole(Exception):
-    """A text that can't be cut into pieces."""
-
-
-class _Aging(dict):
-    """A cache of two generations: what was not used while `most` others came is forgotten."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+def _ragged(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Places start[i], start[i] + 1, ... of many[i] each, one after the other."""
+    total = np.cumsum(many)
+    return np.repeat(start - (total - many), many) + np.arange(int(total[-1]) if len(total) else 0)
 
 
 class TextEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    MOST = 300_000
+    #: Pre-tokens whose ids are kept: some 30 MB.
+    MOST = 600_000
     _made: dict[str, TextEncoder] = {}
 
     def __init__(self, path: str):
@@ -77,13 +65,16 @@ class TextEncoder:
         pre = state["pre_tokenizer"] or {}
         # the byte-level form of each byte, as the library writes its vocabulary
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        shown = dict(zip([*plain, *(x for x in range(256) if x not in set(plain))], map(chr, [*plain, *range(256, 324)])))
-        self.shown = {chr(k): v for k, v in shown.items()}
-        self.bytes_shown = {k: v for k, v in shown.items() if chr(k) != v}
+        self.shown = np.zeros(256, "<u4")
+        self.shown[[*plain, *(x for x in range(256) if x not in set(plain))]] = [*plain, *range(256, 324)]
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not state["normalizer"]
-        self.part = regex.compile(_PARTS)
-        self.words = _Aging(self._word, self.MOST)
-        self.pieces = _Aging(self._piece, self.MOST)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in state["added_tokens"]) or r"(?!)")
+        self.parts = regex.compile(_PARTS).findall
+        self.space = regex.compile(r"\s").match
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.known_ids, self.known_ends = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
     @classmethod
     def of(cls, path: str) -> TextEncoder:
@@ -95,41 +86,107 @@ class TextEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        """A pre-token: the library's BPE on it."""
-        blank = word[0] == " "
-        if word.isascii() and (word[1:] if blank else word).isalnum():
-            shown = self.shown[" "] + word[1:] if blank else word
+    def _merged(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens and where each one's end: the library's BPE on each."""
+        parts = pa.concat_arrays([parts])
+        offsets = np.frombuffer(parts.buffers()[1], np.int64, len(parts) + 1, 8 * parts.offset) if len(parts) else np.zeros(1, np.int64)
+        data = np.frombuffer(parts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        text, at = self.shown[data].tobytes().decode("utf-32-le"), (offsets - offsets[0]).tolist()
+        merge, ids, ends = self.model.tokenize, [], []
+        for x, y in zip(at, at[1:]):
+            ids += [t.id for t in merge(text[x:y])]
+            ends.append(len(ids))
+        return np.array(ids, "<u4"), np.array(ends, np.int64)
+
+    def _pretokens(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and start and number of each pre-token's (distinct ones, with the leading blank if there is one)."""
+        place = pc.index_in(parts, value_set=self.known)
+        missing = parts.filter(pc.is_null(place))
+        ids, ends = self._merged(missing)
+        at = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = at < 0
+        at[fresh] = len(self.known) + np.arange(len(missing))
+        all_ids, all_ends = np.concatenate((self.known_ids, ids)), np.concatenate((self.known_ends, ends + len(self.known_ids)))
+        start = np.concatenate(([0], all_ends[:-1])) if len(all_ends) else all_ends
+        first, many = start[at], (all_ends - start)[at]
+        if len(all_ends) <= self.MOST:
+            self.known, self.known_ids, self.known_ends = pa.concat_arrays([self.known, missing]), all_ids, all_ends
+        elif len(parts) <= self.MOST:  # what this batch used stays
+            self.known, self.known_ids, self.known_ends = pa.concat_arrays([parts]), all_ids[_ragged(first, many)], np.cumsum(many)
         else:
-            shown = word.encode().decode("latin-1").translate(self.bytes_shown)
-        ids = [t.id for t in self.model.tokenize(shown)]
-        return _PACK[len(ids)](*ids) if len(ids) < 32 else np.array(ids, "<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        """A blank and the next word; a piece marked by \\0 starts the text and has no blank."""
-        if piece.isascii() and piece.isalpha():  # one pre-token
-            return self.words[" " + piece]
-        word = piece[1:] if piece[:1] == "\0" else piece
-        if not word or word[0].isspace() or word[-1].isspace() or "<|" in word or "\0" in word:
-            raise _Whole
-        if word is piece:
-            word = " " + word
-        return b"".join(map(self.words.__getitem__, self.part.findall(word)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        get, out, whole = self.pieces.__getitem__, [], []
-        for i, t in enumerate(texts):
-            head, *rest = t.split(" ")
-            try:
-                if t and not self.cuts:
-                    raise _Whole
-                out.append(get("\0" + head) + b"".join(map(get, rest)) if t else b"")
-            except (_Whole, UnicodeEncodeError):
-                whole.append(i)
-                out.append(b"")
-        if whole:
-            for i, ids in zip(whole, self._library([texts[i] for i in whole])):
-                out[i] = ids
+            self._forget()
+        return all_ids, first, many
+
+    def _pieces(self, pieces: pa.Array, others: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and start and number of them, of distinct pieces with a blank before each, and of other texts as they are.
+
+        No piece is empty, holds a blank, or has white space at an end."""
+        plain = pc.and_(pc.string_is_ascii(pieces), pc.ascii_is_alpha(pieces)).to_numpy(zero_copy_only=False)
+        nothing, blank = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+        alone = pc.binary_join_element_wise(nothing, pieces.filter(pa.array(plain)), blank)  # one pre-token each
+        mixed = pieces.filter(pa.array(~plain)).to_pylist()
+        parts = self.parts(" " + " ".join(mixed)) if mixed else []
+        begins = np.flatnonzero(np.fromiter((p[0] == " " for p in parts), bool, len(parts)))
+        lists = [self.parts(o) for o in others]
+        more = np.array([len(x) for x in lists], np.int64)
+        # numbers of the distinct pre-tokens of each piece
+        coded = pa.concat_arrays([alone, pa.array(chain(parts, *lists), pa.large_string())]).dictionary_encode()
+        named = coded.indices.to_numpy()
+        ids, start, many = self._pretokens(coded.dictionary)
+        n = np.ones(len(pieces) + len(others), np.int64)
+        n[: len(pieces)][~plain] = np.diff(np.append(begins, len(parts)))
+        n[len(pieces) :] = more
+        at = np.zeros(len(n), np.int64)
+        at[: len(pieces)][plain] = np.arange(len(alone))
+        rest = np.flatnonzero(np.concatenate((~plain, np.ones(len(others), bool))))
+        at[rest] = len(alone) + np.cumsum(n[rest]) - n[rest]
+        every = named[_ragged(at, n)]
+        sizes = np.concatenate(([0], np.cumsum(many[every])))
+        ends = np.cumsum(n)
+        return ids[_ragged(start[every], many[every])], sizes[ends - n], sizes[ends] - sizes[ends - n]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text; null is an empty text."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = texts.fill_null("") if texts.null_count else texts
+        if not len(texts) or not self.cuts:
+            return self._library(texts.to_pylist())
+        cut = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds = bounds - bounds[0]
+        place, pieces = coded.indices.to_numpy(), coded.dictionary
+        # white space at an end of a piece, or none between two blanks: the text is cut by the pattern
+        offsets, data = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1), np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
+        some = offsets[1:] > offsets[:-1]
+        maybe = ~some
+        low, high = data[offsets[:-1][some]], data[offsets[1:][some] - 1]
+        maybe[some] = (low < 33) | (low >= 0x80) | (high < 33) | (high >= 0x80)
+        check = np.flatnonzero(maybe)
+        odd = np.zeros(len(pieces), bool)
+        odd[check] = [not p or bool(self.space(p[0]) or self.space(p[-1])) for p in pieces.take(pa.array(check)).to_pylist()]
+        by_pattern = np.add.reduceat(odd[place], bounds[:-1]) > 0
+        whole = pc.match_substring_regex(texts, self.special.pattern.replace("(?!)", "$^x")).to_numpy(zero_copy_only=False)
+        inner = np.repeat(~(by_pattern | whole), np.diff(bounds))
+        inner[bounds[:-1]] = False  # the first piece has no blank before it
+        used = np.zeros(len(pieces), bool)
+        used[place[inner]] = True
+        number = np.cumsum(used) - 1
+        plain = np.flatnonzero(~by_pattern & ~whole)
+        heads = [h or "" for h in pieces.take(pa.array(place[bounds[plain]])).to_pylist()]
+        uncut = np.flatnonzero(by_pattern & ~whole)
+        ids, start, many = self._pieces(pieces.filter(pa.array(used)), heads + texts.take(pa.array(uncut)).to_pylist())
+        first = number[place]
+        n = int(used.sum())
+        first[bounds[plain]] = n + np.arange(len(plain))
+        first[bounds[uncut]] = n + len(plain) + np.arange(len(uncut))
+        inner[bounds[plain]] = inner[bounds[uncut]] = True
+        every = first[inner]
+        sizes = np.concatenate(([0], np.cumsum(many[every])))[np.concatenate(([0], np.cumsum(inner)))[bounds]].tolist()
+        flat = memoryview(ids[_ragged(start[every], many[every])].astype("<u4").tobytes())
+        out = [bytes(flat[4 * a : 4 * b]) for a, b in zip(sizes, sizes[1:])]
+        for i, b in zip(np.flatnonzero(whole).tolist(), self._library(texts.filter(pa.array(whole)).to_pylist()) if whole.any() else ()):
+            out[i] = b
         return out
 
 
@@ -259,7 +316,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, first, held, pack_block(names, ids)), kinds.types)], schema=kinds)
 
         for batch in (s for b in batches for s in slices(b)):
-            for name, b in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
+            for name, b in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 names.append(name)
                 ids.append(b + end)
                 held += len(b) // 4 + 1

@@ -54,8 +54,13 @@ def test_windows_of_equal_words_have_equal_hashes():
 def test_encoder_agrees_with_the_library():
     rng, lib = random.Random(3), library()
     texts = [t or "" for t in cases.texts()] + ["".join(rng.choice("ab é\n\t .' s|<>\x1c") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += [a + c + b for c in map(chr, [*range(0x300), *range(0x2000, 0x2070), 0x3000, 0xFEFF, 0x1F600]) for a, b in (("", ""), ("a ", "b"), ("a", " b"), ("", " <|endoftext|>"))]
     want = [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert tokens.TextEncoder(tokens.default_tokenizer()).encode(texts) == want
+    encoder = tokens.TextEncoder(tokens.default_tokenizer())
+    assert encoder.encode(texts) == want
+    encoder.MOST = 500  # the cache overflows at every batch
+    assert [b for i in range(0, len(texts), 300) for b in encoder.encode(texts[i : i + 300])] == want
+    assert encoder.encode([]) == [] and encoder.encode([None, ""]) == [b"", b""]
 
 
 @pytest.mark.parametrize("top", [1, 2, 40, 50257, 1 << 32, 1 << 64])
