@@ -3,8 +3,9 @@
 Two multinomials over hashed word unigrams and bigrams are counted: the raw corpus (every document) and the
 trusted target (documents labelled good). A document's score is the mean over its n-grams of
 log p_target - log p_raw; it is kept if the score reaches a fixed threshold. The number of buckets grows with the
-n-grams of the corpus, so a bucket holds PER_BUCKET of them at most on average, whatever the input. The weights are
-a table that n-grams are joined with: broadcast up to 2 ** BROADCAST_BITS buckets, shuffled beyond, with equal results.
+square root of the corpus's bytes, as the different n-grams of a language do in good part (Heaps' law), so how many share
+a bucket stays alike. Counts are summed in each task first, so what is shuffled is one row for each task and bucket.
+The weights are a table that n-grams are joined with: broadcast up to BROADCAST buckets, shuffled beyond, with equal results.
 
 Defined results: a null or blank text has no words, score 0 and fails the base rule (fewer than min_words);
 repeated doc_ids are separate rows; without any labelled good document the verdict is true for all; without
@@ -13,17 +14,17 @@ documents the result is empty. Only doc_id and text are read, so other columns c
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WS, stored, with_maybe, words_of
 
-#: The least number of buckets is 2 ** LEAST_BITS.
-LEAST_BITS = 16
-#: Most n-grams of the corpus to a bucket; sf0.1, where the threshold was set, has 122 in each of 2 ** 16.
-PER_BUCKET = 128
-#: The weights of so many buckets are broadcast.
-BROADCAST_BITS = 22
+#: Buckets: at least LEAST, and PER_ROOT for each root of a byte; sf0.1, where the threshold was set, has about LEAST.
+LEAST, PER_ROOT = 1 << 16, 12
+#: The weights of so many buckets are broadcast (some 170 MB).
+BROADCAST = 1 << 22
 #: Mean log ratio under which a document is rejected.
 THRESHOLD = -0.1
 
@@ -39,33 +40,32 @@ def _window(k: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get("wh", i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _ngrams(bits: int) -> Column:
+def _ngrams(buckets: int) -> Column:
     """Bucket numbers of all words and word pairs."""
-    low = F.lit((1 << bits) - 1).cast("long")
-    return F.transform(F.concat("wh", _window(2)), lambda h: h.bitwiseAND(low))
+    n = F.lit(buckets).cast("long")
+    return F.transform(F.concat("wh", _window(2)), lambda h: F.pmod(h, n))
 
 
-def bucket_bits(docs: DataFrame, per_bucket: int = PER_BUCKET) -> int:
-    """The least bits, LEAST_BITS or more, with at most per_bucket n-grams of docs to each of 2 ** bits buckets."""
-    n = F.size(words_of(F.col("text"))).cast("long")
-    grams = docs.agg(F.sum(F.greatest(2 * n - 1, F.lit(0)))).first()[0] or 0
-    return max(LEAST_BITS, (-(-grams // per_bucket) - 1).bit_length())
+def bucket_count(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(LEAST, math.isqrt(PER_ROOT * PER_ROOT * size))
 
 
-def ngram_weights(docs: DataFrame, target_ids: DataFrame, bits: int) -> DataFrame:
-    """b, w: log p_target - log p_raw of each bucket that docs fill, both with add-one smoothing over 2 ** bits buckets.
+def ngram_weights(docs: DataFrame, target_ids: DataFrame, buckets: int) -> DataFrame:
+    """b, w: log p_target - log p_raw of each bucket that docs fill, both with add-one smoothing over all buckets.
 
     target_ids: doc_id, distinct, of any number. Documents that are surely not among them stay out of the join."""
     d = with_maybe(docs.select("doc_id", "text"), "doc_id", target_ids)
     mark = target_ids.select(F.col("doc_id").alias("__id"), F.lit(1).alias("__t")).hint("merge")
     maybe = d.where("__maybe").join(mark, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.coalesce("__t", F.lit(0)).alias("t"))
     marked = maybe.unionAll(d.where("not __maybe").select("doc_id", "text", F.lit(0).alias("t")))
-    grams = _hashed(marked, "t").select("t", F.explode(_ngrams(bits)).alias("b"))
+    grams = _hashed(marked, "t").select("t", F.explode(_ngrams(buckets)).alias("b"))
     counts = stored(grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good")), "ngram-counts")
-    total = counts.agg(F.sum("raw").alias("raws"), F.sum("good").alias("goods"))
-    size = F.lit(float(1 << bits))
-    ratio = F.log((F.col("good") + 1) / (F.col("goods") + size)) - F.log((F.col("raw") + 1) / (F.col("raws") + size))
-    return counts.join(F.broadcast(total)).select("b", F.when(F.col("goods") == 0, 0.0).otherwise(ratio).alias("w"))
+    raws, goods = counts.agg(F.sum("raw"), F.sum("good")).first()
+    if not goods:
+        return counts.select("b", F.lit(0.0).alias("w"))
+    ratio = F.log((F.col("good") + 1) / float(goods + buckets)) - F.log((F.col("raw") + 1) / float(raws + buckets))
+    return counts.select("b", ratio.alias("w"))
 
 
 def _repeated(d: DataFrame) -> DataFrame:
@@ -109,12 +109,12 @@ def good_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, bits: int | None = None, threshold: float = THRESHOLD, min_words: int = 50, repeat_pct: int = 50, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float = THRESHOLD, min_words: int = 50, repeat_pct: int = 50, broadcast: int = BROADCAST) -> DataFrame:
     """doc_id, base counts, ngram_score double, base_failed, kept."""
-    bits = bucket_bits(docs) if bits is None else bits
-    weights = ngram_weights(docs, good_ids(labels), bits).hint("broadcast" if bits <= broadcast_bits else "merge")
+    buckets = bucket_count(docs) if buckets is None else buckets
+    weights = ngram_weights(docs, good_ids(labels), buckets).hint("broadcast" if buckets <= broadcast else "merge")
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    d = base_counts(_hashed(docs)).select(F.monotonically_increasing_id().alias("__row"), *columns, _ngrams(bits).alias("__g"))
+    d = base_counts(_hashed(docs)).select(F.monotonically_increasing_id().alias("__row"), *columns, _ngrams(buckets).alias("__g"))
     # the counts go with a row's n-grams, so that the row is put together by one aggregation, mostly within its task
     grams = d.select("__row", *columns, F.explode_outer("__g").alias("b"))
     d = grams.join(weights, "b", "left").groupBy("__row", *columns).agg(F.sum("w").alias("__total"))
