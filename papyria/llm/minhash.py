@@ -70,7 +70,7 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _family(bands * rows)
-        for batch in (s for x in batches for s in slices(x, 2 << 20)):
+        for batch in (s for x in batches for s in slices(x, 1 << 20)):
             sets = shingle_sets(batch.column(1).to_pylist(), k)
             n = [len(s) for s in sets]
             f1 = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
@@ -140,7 +140,7 @@ def confirmed(docs: DataFrame, members: DataFrame, k: int, percent: int) -> Data
     kinds = pa.schema([("cluster", pa.int64()), ("places", pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))), ("node", pa.int64()), ("shingles", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for x in batches for s in slices(x, 2 << 20)):
+        for batch in (s for x in batches for s in slices(x, 1 << 20)):
             sets = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("places").cast(kinds.field("places").type), batch.column("node"), pa.array(sets, pa.binary())], schema=kinds)
 

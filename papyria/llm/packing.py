@@ -159,7 +159,7 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str | None
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], schema=kinds)
 
-        for batch in (s for b in batches for s in slices(b)):
+        for batch in (s for b in batches for s in slices(b, 4 << 20)):
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 packer.add(doc, ids + end)
                 if packer.held >= pool:

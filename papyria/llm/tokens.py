@@ -51,8 +51,8 @@ def _ragged(start: np.ndarray, many: np.ndarray) -> np.ndarray:
 class TextEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    #: Pre-tokens whose ids are kept: some 30 MB.
-    MOST = 600_000
+    #: Pre-tokens whose ids are kept: some 20 MB.
+    MOST = 400_000
     _made: dict[str, TextEncoder] = {}
 
     def __init__(self, path: str):
@@ -61,14 +61,13 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        state = json.loads(self.tokenizer.to_str())
-        pre = state["pre_tokenizer"] or {}
+        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
         # the byte-level form of each byte, as the library writes its vocabulary
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = np.zeros(256, "<u4")
         self.shown[[*plain, *(x for x in range(256) if x not in set(plain))]] = [*plain, *range(256, 324)]
-        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not state["normalizer"]
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in state["added_tokens"]) or r"(?!)")
+        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and self.tokenizer.normalizer is None
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.parts = regex.compile(_PARTS).findall
         self.space = regex.compile(r"\s").match
         self._forget()
@@ -315,7 +314,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         def block() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, first, held, pack_block(names, ids)), kinds.types)], schema=kinds)
 
-        for batch in (s for b in batches for s in slices(b)):
+        for batch in (s for b in batches for s in slices(b, 4 << 20)):
             for name, b in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 names.append(name)
                 ids.append(b + end)
