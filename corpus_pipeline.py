@@ -30,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of two or more benchmark items go."""
-    return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"), window=8, min_items=2)
+    """Documents that hold a passage of eight words or more of a benchmark item go."""
+    return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"), window=8, min_run=8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

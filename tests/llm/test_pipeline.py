@@ -19,8 +19,8 @@ def corpus(spark, tmp_path_factory):
     texts = [t for t in cases.texts()]
     good = [f"The river crossed the {w} valley before the town was built there, and its bridge stood for {i} years.\nfooter line\n" * 2 for i, w in enumerate("green long deep wide narrow old cold warm".split() * 5)]
     junk = [f"buy cheap {w} now $$$ click {i} click {i} http://{w}.biz free free win {w}" for i, w in enumerate("pills watch casino loan shoes seo coins tokens".split() * 5)]
-    leak = [texts[50][:200], texts[60][:200]]
-    texts += good + junk + [" ".join(leak) + " and more words about the river"] * 2
+    leak = ["Which tributary did the surveyors of the northern expedition follow before the winter", "Name the metal that turns green when it stands in salt air for years"]
+    texts += good + junk + [f"The river crossed the valley before the town was built there. {x} And its bridge stood for years." for x in leak]
     n = len(texts)
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(None, "a row without an id", None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{d}/documents.parquet")
@@ -57,10 +57,9 @@ def test_stages(spark, corpus):
             bad = set()
             for k, v in before.items():
                 w = words(v)
-                have = {tuple(w[i : i + 8]) for i in range(len(w) - 7)}
-                if sum(bool(have & x) for x in wins.values()) >= 2:
+                if {tuple(w[i : i + 8]) for i in range(len(w) - 7)} & set().union(*wins.values()):
                     bad.add(k)
-            assert set(got) == set(before) - bad
+            assert bad and set(got) == set(before) - bad
         kept.append(len(got))
     assert kept == sorted(kept, reverse=True)
     check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, corpus), {r["doc_id"]: r["text"] for r in docs.collect()})

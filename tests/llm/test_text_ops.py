@@ -132,15 +132,15 @@ def test_packing_is_a_gapless_cut_of_every_document(docs, capacity, pool):
 def test_decontamination(spark, docs):
     all_texts = cases.texts()
     items = {7: " ".join(all_texts[9].split()[100:130]), 10: "One!", 2: all_texts[50].upper(), 33: "", 34: None, 35: "nowhere to be found in any of these texts", 36: " ".join(all_texts[9].split()[120:150])}
-    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    bench = spark.createDataFrame([*items.items(), (None, all_texts[8]), (7, items[7])], "item_id long, text string")
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t or ""))
     wins = defaultdict(set)
     for k, t in items.items():
         w = words(t)
         for i in range(max(1, len(w) - 7) if w else 0):
             wins[tuple(w[i : i + 8])].add(str(k))
-    for size in (40_000, 5):
-        got = by_id(decontam.decontaminate(docs, bench, block_windows=size))
+    for size, held in ((200_000, 1), (5, 2), (5, 100)):
+        got = by_id(decontam.decontaminate(docs, bench, block_windows=size, held=held))
         for i, t in enumerate(all_texts):
             w, hit, found = words(t), set(), set()
             for n in {len(x) for x in wins}:
@@ -154,6 +154,19 @@ def test_decontamination(spark, docs):
             assert sum(len(words(t[s["start"] : s["end"]])) for s in r["spans"]) == len(hit)
     assert not any(r["n_items"] for r in rows_of(decontam.decontaminate(docs, bench.where("false"))))
     assert decontam.decontaminate(cases.empty(spark), bench).count() == 0
+    long = spark.createDataFrame([(1, "x " * 200_000 + items[7] + " y" * 200_000)], "doc_id long, text string")
+    assert [(r["n_words"], r["n_hit"], r["items"]) for r in rows_of(decontam.decontaminate(long, bench.where("item_id = 7")))] == [(400_030, 30, ["7"])]
+
+
+def test_one_passage_of_one_item_is_enough_and_a_short_item_is_not(spark):
+    item = "what is the capital of the old land beyond the river"
+    bench = spark.createDataFrame([(1, item), (2, "one two"), (3, "yes")], "item_id long, text string")
+    texts = ["so " + " ".join(item.split()[2:10]) + " then", " ".join(item.split()[2:9]), "yes it is one two of them", "yes " * 7, "", None, item.upper()]
+    d = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, __n long")
+    for size in (200_000, 2):
+        out = decontam.uncontaminated(d, bench, block_windows=size)
+        assert out.columns == d.columns and {r["doc_id"] for r in out.collect()} == {1, 2, 3, 4, 5}
+    assert decontam.uncontaminated(d, bench.where("false")).count() == len(texts)
 
 
 def brute_substring(texts, n):
@@ -309,21 +322,26 @@ def test_every_good_document_is_in_the_target(spark):
     assert len(scores) == 20_050 and max(map(abs, scores)) < 1e-12
 
 
-@pytest.mark.parametrize("most", [22, 0])
-def test_buckets_grow_with_the_ngrams(spark, most):
-    """Two words of one bucket of 2 ** 16 are told apart in a corpus of over 128 * 2 ** 16 n-grams."""
+@pytest.mark.parametrize("options", [{}, {"broadcast": 0}])
+def test_buckets_grow_with_the_text(spark, options):
+    """Two words of one bucket of 2 ** 16 are told apart in a corpus of over (2 ** 17 / 12) ** 2 bytes."""
     from xxhash import xxh64_intdigest
 
-    seen = {}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    docs = spark.range(102).selectExpr("id as doc_id", "repeat(case when id < 100 then 'filler ' when id = 100 then 'GOODWRD ' else 'BADWORD ' end, 220000) as text")
+    buckets = rules.bucket_count(docs)
+    assert 1 << 17 < buckets < 1 << 18 and rules.bucket_count(docs.limit(1)) == 1 << 16 == rules.bucket_count(docs.where("false"))
+    assert abs(rules.bucket_count(docs.unionAll(docs).unionAll(docs).unionAll(docs)) - 2 * buckets) < 3
+    seen, pair = {}, None
     for i in range(10_000):
-        w = f"w{i}"
-        h = xxh64_intdigest(w.encode(), seed=42)
-        if h & 0xFFFF in seen and (seen[h & 0xFFFF][1] ^ h) >> 16 & 1:
+        w = f"w{i:05d}x"
+        h = signed(xxh64_intdigest(w.encode(), seed=42))
+        if h % (1 << 16) in seen and seen[h % (1 << 16)][1] % buckets != h % buckets:
+            pair = seen[h % (1 << 16)][0], w
             break
-        seen[h & 0xFFFF] = (w, h)
-    good, bad = seen[h & 0xFFFF][0], w
-    docs = spark.range(102).selectExpr("id as doc_id", f"repeat(case when id < 100 then 'filler ' when id = 100 then '{good} ' else '{bad} ' end, 43000) as text")
+        seen[h % (1 << 16)] = (w, h)
+    docs = docs.selectExpr("doc_id", f"replace(replace(text, 'GOODWRD', '{pair[0]}'), 'BADWORD', '{pair[1]}') as text")
     labels = docs.selectExpr("doc_id", "int(doc_id <> 101) as quality")
-    d = by_id(rules.quality_rules(docs, labels, **({} if most else {"broadcast_bits": 0})))
-    # 8.77 million n-grams: 2 ** 17 buckets; the bad word and its pair are never in the target
+    d = by_id(rules.quality_rules(docs, labels, **options))
+    # the bad word and its pair are never in the target
     assert d[100]["ngram_score"] > 0 > d[101]["ngram_score"] + 9
