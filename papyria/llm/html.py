@@ -1,21 +1,27 @@
 """Main text of web pages by site template removal.
 
-Every element's subtree is hashed (its tag, class and texts, and its children's hashes). Spark counts on how many pages
-of a host each hash occurs; subtrees that recur on many pages of their host are templates and are deleted. Then
-what a page's markup itself marks as no part of the article goes: menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments, scripts and styles. The rest of the article (or of <main>, or else of the body) is
-the text: one line for each block, white space inside a block turned into one blank.
+A page is parsed once. Its text is a list of blocks, and every element that holds whole blocks has a hash of its subtree:
+its tag, class, id and role, its texts, and the hashes of the elements in it. Spark counts on how many different pages
+of a host each hash occurs; subtrees that recur are templates, and their blocks are deleted:
 
-Inside an article, text blocks (paragraphs, headings, list items, cells and what is inline) are never templates:
-a passage that two articles share is text of both. Only containers such as <div> or <section> can be.
+- a container (<div>, <section>, ...), or any element of a page that marks no article, on `min_pages` pages or more,
+  however large the host is;
+- a paragraph, heading, list, table or the like inside an article, where a passage may well stand on several pages, if it
+  is also on `share_pct` percent or more of its host's pages, as a notice to all readers is.
 
-Counting shuffles 16 bytes for each subtree, summed up in each task first, so a host of a third of all pages gives
-one row for each template and task. Templates are few (each takes `min_pages` pages at least); up to
-`broadcast_most` of them are broadcast as 64-bit numbers, and more are joined to the pages that have them.
+Pages of a host with the same text are one page in these counts, so copies of a page under many addresses do not
+make a template of it. Markup says what counting can't, on a host of few pages or one page: the article is taken
+from <article>, else from <main>, else from the body, without menus, headers, footers, sidebars, notices, adverts,
+forms, reader comments, scripts and styles. White space inside a block becomes one blank.
+
+Counting shuffles 24 bytes for each subtree and page, then one row for each template and task, so a host of a third of all
+pages does not meet in one task. Templates are few (each takes `min_pages` pages at least); up to `broadcast_most` of
+them are broadcast as 64-bit numbers, and more are joined to the pages that have them.
 
 Defined results: null or empty html gives ''; markup cut off at the end ends there, and an unfinished tag is dropped;
-null urls, and urls without a host, are one host; repeated rows are separate pages; an empty table gives
-no rows; only page_id, url and html are read.
+elements nested deeper than `DEEPEST` are taken as siblings, so a page of 100,000 open tags takes time in proportion; a very
+long text is read whole; null urls, and urls without a host, are one host; repeated rows are separate pages of the
+result; an empty table gives no rows; only page_id, url and html are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -55,14 +61,18 @@ _SPACE = re.compile(r"\s+")
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)|^([^/?#:\s]+\.[^/?#:\s]+)")
 
 
+#: Browsers stop nesting at about the same depth.
+DEEPEST = 500
+
+
 class Node:
-    __slots__ = ("tag", "marks", "kids", "parent", "gone", "inside", "hash")
+    __slots__ = ("tag", "marks", "kids", "parent", "gone", "depth", "headed")
 
     def __init__(self, tag: str, marks: str, parent: Node | None):
         self.tag, self.marks, self.parent = tag, marks, parent
         self.kids: list[Node | str] = []
-        self.gone = self.inside = False
-        self.hash = 0
+        self.gone = self.headed = False  # headed: a heading stands in it
+        self.depth = parent.depth + 1 if parent else 0
 
 
 def host_of(url: str | None) -> str:
@@ -115,6 +125,8 @@ def parse(page: str) -> Node:
             elif tag == "p":
                 node.kids.append(Node("p", "", node))
             continue
+        if node.depth >= DEEPEST:
+            node = node.parent
         if tag in ("html", "body") and node is root:
             if tag == "html":
                 continue
@@ -137,6 +149,10 @@ def parse(page: str) -> Node:
         new = Node(tag, marks, node)
         new.gone = gone or tag in NEVER
         node.kids.append(new)
+        if tag in HEADING:
+            up = node
+            while up is not None and not up.headed:
+                up.headed, up = True, up.parent
         if tag in RAW and not attributes.endswith("/"):
             end = RAW[tag].search(page, at)
             new.kids.append(page[at : end.start() if end else n])
@@ -173,7 +189,8 @@ def main_roots(root: Node, nodes: list[Node]) -> list[Node]:
     return outer(lambda x: x.tag == "article") or outer(lambda x: x.tag == "main" or x.marks.endswith("|main")) or [root]
 
 
-def _prepare(page: str) -> tuple[Node, list[Node], list[Node]]:
+def article_roots(page: str) -> list[Node]:
+    """The parsed page's main roots; what is in them and marked as no part of an article is gone."""
     root = parse(page)
     nodes = _walk(root)
     for x in nodes:  # the head line of an article may stand in a <header>
@@ -181,7 +198,7 @@ def _prepare(page: str) -> tuple[Node, list[Node], list[Node]]:
             up = x.parent
             while up is not None and up.tag not in ("article", "main"):
                 up = up.parent
-            x.gone = x.gone or up is None or not any(y.tag in HEADING for y in _walk(x))
+            x.gone = x.gone or up is None or not x.headed
     roots = main_roots(root, nodes)
     if roots == [root]:  # an article whose wrapper is named after a sidebar or the like is still the article
         for x in nodes:
@@ -189,146 +206,129 @@ def _prepare(page: str) -> tuple[Node, list[Node], list[Node]]:
                 while x is not None:
                     x.gone, x = x.gone and x.tag not in ("div", "section", "main"), x.parent
         roots = main_roots(root, nodes)
-    return root, nodes, roots
+    return roots
 
 
-def subtree_hashes(page: str, host: str) -> tuple[Node, list[Node], dict[int, list[Node]]]:
-    """The tree, its main roots, and the elements that can be templates by the hash of host and subtree."""
-    root, nodes, roots = _prepare(page)
-    keep = {id(root)}
-    for r in roots:
-        up = r
-        while up is not None:
-            keep.add(id(up))
-            up = up.parent
-        if r is not root:
-            for x in _walk(r):
-                x.inside = True
-    seed = xxhash.xxh64_intdigest(host)
-    found: dict[int, list[Node]] = {}
-    for x in reversed(nodes):  # children come after their parents
-        if x.inside and (x.tag in TEXTUAL or x.tag not in BLOCK) and not x.gone:
-            continue
-        if x.inside:
-            for y in _walk(x):
-                if not y.hash:
-                    y.hash = _hash(y)
-        x.hash = x.hash or _hash(x)
-        if id(x) not in keep and x.tag not in ("html", "head", "body", "br"):
-            found.setdefault(xxhash.xxh64_intdigest(x.hash.to_bytes(8, "little"), seed), []).append(x)
-    return root, roots, found
-
-
-def _hash(x: Node) -> int:
-    parts = [x.tag, x.marks]
-    for k in x.kids:
-        if type(k) is str:
-            if t := _SPACE.sub(" ", k).strip():
-                parts.append(t)
-        else:
-            parts.append(f"\0{k.hash:x}" if k.hash else f"\0{_hash(k):x}")
-    return xxhash.xxh64_intdigest("\1".join(parts)) or 1
-
-
-def text_of(roots: list[Node]) -> str:
-    """Blocks in page order, each on one line."""
+def text_blocks(roots: list[Node]) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
+    """The blocks of text in page order, and the subtrees that may be templates: hash, first block, block after the last,
+    and whether it is a text block inside an article. Hashes are made from the inside out, without recursion."""
     blocks: list[str] = []
-    parts: list[str] = []
-
-    def close() -> None:
-        if parts:
-            if t := _SPACE.sub(" ", entities.unescape("".join(parts))).strip():
-                blocks.append(t)
-            parts.clear()
-
+    found: list[tuple[int, int, int, bool]] = []
     for r in roots:
-        todo: list = [r]
+        parts: list[str] = []
+        around: list[tuple[Node, int, list[str]]] = []  # open block elements, with their first block and what they hold
+        todo: list[Node | str | None] = [r]
+
+        def close() -> None:
+            if parts:
+                if t := _SPACE.sub(" ", entities.unescape("".join(parts))).strip():
+                    blocks.append(t)
+                    if around:
+                        around[-1][2].append(t)
+                parts.clear()
+
         while todo:
             x = todo.pop()
             if type(x) is str:
                 parts.append(x)
             elif x is None:
                 close()
+                node, first, held = around.pop()
+                if len(blocks) > first:
+                    h = xxhash.xxh64_intdigest("\1".join((node.tag, node.marks, *held)))
+                    if around:
+                        around[-1][2].append(f"\0{h:x}")
+                    if node is not r and node.tag not in ("html", "head", "body"):
+                        found.append((h, first, len(blocks), r.parent is not None and node.tag in TEXTUAL))
             elif not x.gone:
                 if x.tag in BLOCK:
                     close()
+                    around.append((x, len(blocks), []))
                     todo.append(None)
                 elif x.tag == "br":
                     parts.append(" ")
                 todo += reversed(x.kids)
         close()
-    return "\n".join(blocks)
-
-
-def extract(page: str, host: str, templates) -> str:
-    root, roots, found = subtree_hashes(page, host)
-    for h, nodes in found.items():
-        if h in templates:
-            for x in nodes:
-                x.gone = True
-    return text_of(roots)
+    return blocks, found
 
 
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def page_subtrees(pages: DataFrame, with_row: bool = False) -> DataFrame:
-    """host long, key long: one row for each page and distinct subtree, and one with key null for each page."""
-    kinds = pa.schema([("host", pa.int64()), ("key", pa.int64())] + [("row", pa.int64())] * with_row)
+def page_rows(pages: DataFrame) -> DataFrame:
+    """page_id, url, host and page (64-bit names of the host and of the page's text), blocks, and of each subtree: keys (of
+    host and subtree), firsts, lasts (negative for a text block inside an article)."""
+    kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.int64()), ("page", pa.int64()), ("blocks", pa.list_(pa.string())), ("keys", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32())), ("lasts", pa.list_(pa.int32()))])
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b)):
-            hosts, keys, rows = [], [], []
-            for i, (url, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                host = host_of(url)
-                found = [None, *map(_signed, subtree_hashes(page, host)[2])] if page else [None]
-                hosts += [_signed(xxhash.xxh64_intdigest(host))] * len(found)
-                keys += found
-                if with_row:
-                    rows += [batch.column(2)[i].as_py()] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64())] + [pa.array(rows, pa.int64())] * with_row, schema=kinds)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in slices(b, 4 << 20)):
+            rows = []
+            for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                host = xxhash.xxh64_intdigest(host_of(url))
+                blocks, found = text_blocks(article_roots(page)) if page else ([], [])
+                keys = [_signed(xxhash.xxh64_intdigest(h.to_bytes(8, "little"), host)) for h, _, _, _ in found]
+                rows.append((_signed(host), _signed(xxhash.xxh64_intdigest("\n".join(blocks))), blocks, keys, [f[1] for f in found], [-f[2] if f[3] else f[2] for f in found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds.types[2:]))], schema=kinds)
+
+    plain = pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html")
+    return map_arrow(plain, scan, "page_id long, url string, host long, page long, blocks array<string>, keys array<long>, firsts array<int>, lasts array<int>")
 
-    columns = ["cast(url as string) url", "cast(html as string) html"] + ["row"] * with_row
-    return map_arrow(pages.selectExpr(*columns), hashes, "host long, key long" + ", row long" * with_row)
 
+def site_templates(rows: DataFrame, min_pages: int, share_pct: int) -> DataFrame:
+    """key, wide: subtrees on min_pages different pages of their host or more; wide: on share_pct percent of them or more."""
+    seen = rows.select("host", "page", F.explode(F.array_distinct("keys")).alias("key")).distinct()
+    counts = seen.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    total = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    # one row for each host with a template meets that host's templates; both sides are small next to the pages
+    return counts.join(total, "host").select("key", (F.col("n") * 100 >= F.col("total") * share_pct).alias("wide"))
 
-def site_templates(subtrees: DataFrame, min_pages: int, share_pct: int) -> DataFrame:
-    """key: subtrees on min_pages pages or more and on share_pct percent or more of their host's pages."""
-    counts = stored(subtrees.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("key").isNull() | (F.col("n") >= min_pages)), "subtree-counts")
-    total = counts.where("key is null").select(F.col("host").alias("h"), F.col("n").alias("total"))
-    return counts.where("key is not null").join(total, F.col("host") == F.col("h")).where(F.col("n") * 100 >= F.col("total") * share_pct).select("key")
 
+def without(blocks: list[str], keys: list[int], firsts: list[int], lasts: list[int], templates: dict[int, bool]) -> str:
+    """The blocks that no template covers, one on each line."""
+    for key, first, last in zip(keys, firsts, lasts):
+        if key in templates and (last > 0 or templates[key]):
+            blocks[first : abs(last)] = [""] * (abs(last) - first)
+    return "\n".join(filter(None, blocks))
 
-def extract_text(pages: DataFrame, min_pages: int = 5, share_pct: int = 10, broadcast_most: int = 500_000) -> DataFrame:
+
+def extract_text(pages: DataFrame, min_pages: int = 5, share_pct: int = 50, broadcast_most: int = 500_000) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    sc = pages.sparkSession.sparkContext
-    templates = stored(site_templates(page_subtrees(pages), min_pages, share_pct), "site-templates")
+    # a row's number is written with it, so it stays the same whichever task reads it again
+    rows = stored(page_rows(pages).withColumn("row", F.monotonically_increasing_id()), "page-rows")
+    templates = stored(site_templates(rows, min_pages, share_pct), "site-templates")
     kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-    schema = "page_id long, url string, text string, n_chars long"
-    plain = pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html")
+    schema, columns = "page_id long, url string, text string, n_chars long", ["page_id", "url", "blocks", "keys", "firsts", "lasts"]
 
     def output(batch: pa.RecordBatch, sets) -> pa.RecordBatch:
-        texts = [extract(page, host_of(url), known) if page else "" for url, page, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), sets)]
+        texts = [without(*row, known) for *row, known in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), sets)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=kinds)
 
     if templates.count() <= broadcast_most:
-        known = sc.broadcast(np.array([r[0] for r in templates.collect()], np.int64).view(np.uint64))
+        found = templates.toPandas()
+        known = pages.sparkSession.sparkContext.broadcast((found["key"].to_numpy(np.int64), found["wide"].to_numpy(bool)))
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys = set(known.value.tolist())
+            wide = dict(zip(*(x.tolist() for x in known.value)))
             for batch in (s for b in batches for s in slices(b)):
-                yield output(batch, [keys] * batch.num_rows)
+                yield output(batch, [wide] * batch.num_rows)
 
-        return map_arrow(plain, clean, schema)
+        return map_arrow(rows.select(*columns), clean, schema)
 
-    # the pages' own templates come to them; equal pages (id, url and html) share a number and get the same set
-    numbered = plain.withColumn("row", F.xxhash64("page_id", "url", "html"))
-    mine = page_subtrees(numbered, with_row=True).where("key is not null").join(templates.hint("merge"), "key").groupBy("row").agg(F.collect_set("key").alias("keys"))
-    joined = numbered.join(mine, "row", "left").select("page_id", "url", "html", "keys")
+    held = rows.select("row", F.explode(F.array_distinct("keys")).alias("key")).join(templates.hint("merge"), "key")
+    mine = held.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("key", "wide"))).alias("found"))
+    joined = rows.join(mine, "row", "left").select(*columns, "found")
 
     def clean_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b)):
-            yield output(batch, [{k & (1 << 64) - 1 for k in keys or []} for keys in batch.column(3).to_pylist()])
+            yield output(batch, [dict(f or ()) for f in batch.column(6).to_pylist()])
 
     return map_arrow(joined, clean_joined, schema)
+
+
+def extract(page: str, host: str = "", templates: dict[int, bool] | None = None) -> str:
+    """The text of one page whose host has these templates (keys of host and subtree)."""
+    blocks, found = text_blocks(article_roots(page))
+    seed = xxhash.xxh64_intdigest(host)
+    keys = [_signed(xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)) for h, _, _, _ in found]
+    return without(blocks, keys, [f[1] for f in found], [-f[2] if f[3] else f[2] for f in found], templates or {})
