@@ -28,7 +28,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
         set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_already.isDefined():
             base = set_already.get()
-        else:  # single machine, as in tests
+        else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="papyria-")
             spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/papyria/{name}-{uuid.uuid4().hex}"
@@ -110,3 +112,15 @@ def with_maybe(docs: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0, F.lit(False))
     return docs.join(F.broadcast(marks), F.bitmap_bucket_number(here) == F.col("__bucket"), "left").withColumn("__maybe", bit & F.col(id_column).isNotNull()).drop("__bucket", "__bits")
+
+
+def join_to_unique(left: DataFrame, right: DataFrame, on: list[str], how: str, hot_share: int = 20_000) -> DataFrame:
+    """left joined (inner or left) to right, which has one row for each key. Both should be stored.
+
+    Keys of more than a hot_share-th of the rows of left are at most hot_share; they are broadcast, and all other keys are few rows
+    each, so no task of the merge join gets a large part of left."""
+    counts = stored(left.groupBy(*on).agg(F.count("*").alias("__n")), "key-counts")
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("__n") > max(1, total // hot_share)).drop("__n"))
+    some, few = right.join(hot, on, "left_semi"), left.join(hot, on, "left_semi")
+    return few.join(F.broadcast(some), on, how).unionByName(left.join(hot, on, "left_anti").join(right.hint("merge"), on, how))

@@ -1,5 +1,8 @@
 import html as entities
+import math
+import os
 import random
+import re
 import zlib
 
 import pytest
@@ -151,14 +154,136 @@ def test_licenses(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, repo string, path string, text string")).count() == 0
 
 
+def even():
+    return licenses.Matcher({t: 1.0 for t in licenses.vocabulary(licenses.TEMPLATES)}, licenses.TEMPLATES)
+
+
 def test_every_template_is_nearest_to_itself():
-    m = licenses.Matcher({t: 1.0 for t in licenses.vocabulary(licenses.TEMPLATES)}, licenses.TEMPLATES)
+    m = even()
     for name, texts in licenses.TEMPLATES.items():
         for t in texts:
-            score, found = m.file("x", t)
+            score, found = m.best(t)
             assert found == name and score > 0.999
 
 
+GPL_HEADER = """#!/usr/bin/env python
+# frob - frobs the frobs
+# Copyright (C) 2019 Ada Example
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+import frob
+"""
+BSD_HEADER = """/*
+Copyright (c) 2011, Someone. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met:
+
+ * Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+ * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+ * Neither the name of Someone nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+*/
+int main() {}
+"""
+APACHE_HEADER = """// Copyright 2020 The Frob Authors
+//
+// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+package frob
+"""
+
+
+@pytest.mark.parametrize(
+    ("path", "text", "name"),
+    [
+        ("a.py", GPL_HEADER, "GPL-3.0"),
+        ("a.py", GPL_HEADER.replace("version 3", "version 2"), "GPL-2.0"),
+        ("a.py", GPL_HEADER.replace("GNU General", "GNU Affero General"), "AGPL-3.0"),
+        ("a.c", BSD_HEADER, "BSD-3-Clause"),
+        ("a.go", APACHE_HEADER, "Apache-2.0"),
+        ("a.js", "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.\nx", "MPL-2.0"),
+        ("a.c", "/* SPDX-License-Identifier: ISC */\nint x;", "ISC"),
+        ("LICENSE", "MIT License\n\nCopyright (c) 2020 A. N. Author\n\n" + licenses.TEMPLATES["MIT"][0].replace(" of ", " of\n"), "MIT"),
+        ("a.txt", "Many projects chose a license long ago, and the license of a library matters to those who ship it with a product.", None),
+        ("a.txt", "She asked the court for permission to publish, and the copyright holder gave it the next day with some conditions.", None),
+        ("a.txt", "The GNU General Public License was much discussed in that year by people who wrote about software and its history.", None),
+        ("LICENSE", "", None),
+    ],
+)
+def test_headers_and_files_are_named_and_prose_is_not(path, text, name):
+    score, found = even().file(path, text)
+    assert (found if score >= 0.75 else None) == name
+
+
+@pytest.mark.parametrize(("file", "name"), [("GPL-3", "GPL-3.0"), ("GPL-2", "GPL-2.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("BSD", "BSD-3-Clause"), ("CC0-1.0", "CC0-1.0")])
+def test_whole_licence_files(file, name):
+    path = f"/usr/share/common-licenses/{file}"
+    if not os.path.exists(path):
+        pytest.skip("no licence files on this machine")
+    score, found = even().file("LICENSE", open(path, encoding="utf-8").read())
+    assert found == name and score >= 0.75
+
+
+def test_cosine_and_frequencies_by_brute_force(spark):
+    templates = {"A": ["alpha beta beta license"], "B": ["gamma license two"]}
+    texts = ["alpha beta beta license", "beta beta alpha license other", "gamma two", "license two gamma gamma", "", None, "the license alpha"]
+    d = spark.createDataFrame([(i, "r", "f", t) for i, t in enumerate(texts)], "doc_id long, repo string, path string, text string")
+    words = lambda t: re.findall("[a-z]+", t or "")
+    vocabulary = {w for ts in templates.values() for t in ts for w in words(t)}
+    idf = {w: math.log((1 + len(texts)) / (1 + sum(w in words(t) for t in texts))) + 1 for w in vocabulary}
+    assert licenses.inverse_frequencies(d, templates) == pytest.approx(idf)
+    other = sum(idf.values()) / len(idf)
+
+    def vector(t):
+        return {w: (1 + math.log(words(t).count(w))) * idf.get(w, other) for w in words(t)}
+
+    def cosine(a, b):
+        return sum(v * b.get(w, 0) for w, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+
+    got = {r["doc_id"]: r for r in rows_of(licenses.scan_licenses(d, templates, threshold=0.6))}
+    for i, t in enumerate(texts):
+        score, name = max(((cosine(vector(t), vector(x)), n) for n, (x,) in templates.items()), default=(0, "")) if "license" in (t or "") else (0, "")
+        assert got[i]["own_score"] == pytest.approx(score) and got[i]["own_license"] == (name if score >= 0.6 else None)
+
+
+def test_inheritance_against_plain_python(spark, monkeypatch):
+    rng = random.Random(6)
+    files = []
+    for i in range(400):
+        path = "/".join([rng.choice("ab") for _ in range(rng.randrange(5))] + [f"f{i}"])
+        own = rng.choice(["MIT", "ISC", "GPL-3.0"]) if rng.random() < 0.1 else None
+        files.append((i, rng.choice("xyz"), path, own, 0.9 if own else 0.1, bool(own and rng.random() < 0.7)))
+    says = {}
+    for _, repo, path, own, score, declares in files:
+        if declares:
+            key = repo, path.rpartition("/")[0]
+            says[key] = min(says.get(key, own), own)
+    d = common.stored(spark.createDataFrame(files, "doc_id long, repo string, path string, own_license string, own_score double, declares boolean"), "test-scan")
+    for hot in (20_000, 3):  # with and without directories that are met by a broadcast
+        monkeypatch.setattr(licenses, "join_to_unique", lambda *a, hot=hot: common.join_to_unique(*a, hot_share=hot))
+        got = {r["doc_id"]: (r["license"], r["origin"], r["from_dir"]) for r in rows_of(licenses.inherit(d))}
+        for i, repo, path, own, _, _ in files:
+            up = path.rpartition("/")[0]
+            while (repo, up) not in says and up:
+                up = up.rpartition("/")[0]
+            found = says.get((repo, up))
+            assert got[i] == ((own, "own", None) if own else (found, "inherited", up) if found else (None, "none", None))
+
+
 def test_pipeline(spark, tmp_path):
     docs, labels = labelled(spark)
     more = [(2000 + i, t) for i, t in enumerate(cases.texts())]
