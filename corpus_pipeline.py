@@ -6,7 +6,6 @@ All but the last return the columns of documents."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from papyria.llm import classifier, decontam, linedup, minhash, packing
 from papyria.llm.common import stored, table
@@ -20,8 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A line that ten documents or more share stays in the one of the smallest id; no document goes."""
-    out = linedup.line_dedup(docs, min_docs=10, min_chars=1, keep_first=True)
-    return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+    return linedup.deduped(docs, min_docs=10, min_chars=1, keep_first=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

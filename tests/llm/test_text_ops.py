@@ -278,10 +278,35 @@ def brute_lines(texts, min_docs, keep_first=False):
 def test_line_dedup(spark, docs, keep_first):
     got = by_id(linedup.line_dedup(docs, keep_first=keep_first))
     want = brute_lines(list(enumerate(cases.texts())), 10, keep_first)
-    assert {i: (r["n_lines"], r["n_dropped"], r["kept"]) for i, r in got.items()} != {} and all((got[i]["n_lines"], got[i]["n_dropped"]) == want[i][:2] for i in want)
-    frame = linedup.line_dedup(docs.select("doc_id", "text"), keep_first=keep_first)
-    assert {r["doc_id"]: r["kept"] for r in rows_of(frame)} == {i: w[2] for i, w in want.items()}
-    assert linedup.line_dedup(cases.empty(spark).select("doc_id", "text")).count() == 0
+    assert {i: (r["n_lines"], r["n_dropped"], r["kept"]) for i, r in got.items()} == want
+    frame = linedup.deduped(docs, keep_first=keep_first, batches=1)  # its columns clash with every name of the operator
+    assert frame.columns == docs.columns and frame.dtypes == docs.dtypes
+    assert {r["doc_id"]: (r["text"], r["n_chars"], r["n_words"]) for r in rows_of(frame)} == {i: (w[2], len(w[2]), i) for i, w in want.items()}
+    assert linedup.line_dedup(cases.empty(spark)).count() == linedup.deduped(cases.empty(spark)).count() == 0
+
+
+def test_line_dedup_of_hot_keys_and_odd_rows(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i if i % 7 else None, "\n".join(["Everywhere"] + [f"k{rng.randrange(30)}" for _ in range(rng.randrange(4))])) for i in range(120)] + [(5, "Everywhere\nrare"), (5, "rare")]
+    want = brute_lines(list(enumerate(t for _, t in rows)), 10)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for share in (20_000, 5, 1):  # all, some and no keys are hot
+        monkeypatch.setattr(linedup, "HOT_SHARE", share)
+        got = sorted((r["doc_id"] or 0, r["n_lines"], r["n_dropped"], r["kept"]) for r in rows_of(linedup.line_dedup(d)))
+        assert got == sorted((i or 0, *want[n]) for n, (i, _) in enumerate(rows))
+    long = spark.createDataFrame([(i, "\n".join(["shared line"] * 20_000 + [f"own {j}" for j in range(20_000)])) for i in range(10)], "doc_id long, text string")
+    assert {(r["n_lines"], r["n_dropped"]) for r in rows_of(linedup.line_dedup(long).select("n_lines", "n_dropped"))} == {(40_000, 40_000)}
+
+
+def test_runs_are_joined_without_exchange_or_sort(spark):
+    store = linedup.LineStore(spark)
+    for b in range(2):
+        store.add(spark.range(500).selectExpr(f"id % 90 + {b * 40} as doc_id", "xxhash64(id) as h1", "xxhash64(7, id) as h2"))
+    with linedup._sorted_buckets(spark):
+        a, b = (spark.table(n).select("h1", "h2") for n in store.runs()[:2])
+        plan = a.join(b.hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    store.close()
 
 
 def test_line_store_over_batches(spark):
