@@ -33,7 +33,7 @@ _BEFORE = {
     6: "4-750 (Rev. 12-14-88)\n(b)(7)(C) b7D b3\nSU 88-6895-7 p.1\n",
     7: "FD-302 (Rev. 1-1-75)\n",
     8: "JUNE 9, 1977\nreward of $ 1,500.00 offered\nfile 88-6895-12\n",
-    9: "SEARCHED___ INDEXED___ FILED___\nRR SU AT NK NY PH SF\nae meme ieee ree eee eee ee\n~~ 12 %% ** (( )) __ ##\n~x\n",
+    9: "SEARCHED ____ INDEXED ____\nSERIALIZED ___ by hand\n. FILED ;\nComplaint filed before noon\nRR SU AT NK NY PH SF\nae meme ieee ree eee eee ee\n~~ 12 %% ** (( )) __ ##\n~x\n",
     10: "",
 }
 _AFTER = {0: "\nBT\n", 1: "\nGPO : 1977 O - 225-5358\n", 2: "\nBT\n", 4: "\nDate: 6-8-77\nTitle: ESCAPE\n"}
@@ -47,11 +47,12 @@ def _case(parts: dict[int, str]) -> str:
     return "CASE doc_no % 11 " + " ".join(f"WHEN {k} THEN {_sql_text(v)}" for k, v in parts.items()) + " ELSE '' END"
 
 
-#: The same with form lines around the body by doc_no % 11; bodies end with a plain letter on some pages.
+#: The same with form lines around the body by doc_no % 11, and a last page of noise for each source (its doc_no is negative).
 FORMS = f"""
 SELECT source_stem, page_no, doc_no, conf_tenths,
   CASE WHEN page_no = 1 AND doc_no % 2 = 0 THEN 'COVER SHEET' || chr(10) ELSE '' END || {_case(_BEFORE)} || raw_text || {_case(_AFTER)} AS raw_text
-FROM ({PAGES}) p"""
+FROM ({PAGES}) p
+UNION ALL SELECT source_stem, CAST(max(page_no) + 1 AS INT), -1 - min(doc_no), 0, '~~ 12 %% ** (( )) __ ##' || chr(10) || '~x' FROM ({PAGES}) p GROUP BY source_stem"""
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

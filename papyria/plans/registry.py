@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import answer, audit, chunk, clean, evaluate, group, opinions, quality, repair, search
 from ..sources.tables import VectorTable, merged
+from .. import fixed
 from . import fixtures as fx
+from . import oracles as sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,8 +31,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+q = sql.q
+
+
+def text_list(c, by: str = ","):
+    """An array as one string, so that both engines' results compare as text."""
+    return F.array_join(F.col(c).cast("array<string>") if isinstance(c, str) else c, by)
+
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.clean_pages(fx.forms(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ vectors
@@ -162,133 +172,88 @@ def token_estimate(spark, sf_dir):
 
 
 _FORMS = f"WITH f AS ({fx.FORMS})"
-_HEAD = "array_to_string(list_slice(string_split(raw_text, chr(10)), 1, 20), chr(10))"
-_TEMPLATE = "CASE " + " ".join(f"WHEN regexp_matches({_HEAD}, {q(p.replace('(?!\\d)', ''))}) THEN '{n}'" for n, p in clean.TEMPLATES) + " ELSE 'unknown' END"
 
 
-@query(f"{_FORMS} SELECT doc_no, {_TEMPLATE} AS template FROM f")
+@query(f"{_FORMS} SELECT doc_no, {sql.TEMPLATE} AS template FROM f")
 def template_detect(spark, sf_dir):
     return fx.forms(spark, sf_dir).select("doc_no", clean.template_of(F.col("raw_text")).alias("template"))
 
 
-@query(f"""{_FORMS}, g AS (SELECT {_TEMPLATE} AS template, page_no FROM f)
+@query(f"""{_FORMS}, g AS (SELECT {sql.TEMPLATE} AS template, page_no FROM f)
 SELECT template, count(*) AS pages, list_slice(list_sort(list(page_no)), 1, 8)::VARCHAR AS first_pages, greatest(count(*) - 8, 0) AS more FROM g GROUP BY 1""")
 def template_distribution(spark, sf_dir):
     d = clean.template_distribution(fx.forms(spark, sf_dir).withColumn("template", clean.template_of(F.col("raw_text"))))
     return d.select("template", "pages", F.concat(F.lit("["), F.array_join(F.col("first_pages").cast("array<string>"), ", "), F.lit("]")).alias("first_pages"), "more")
 
 
-def _masked(c: str) -> str:
-    return f"regexp_replace(regexp_replace({c}, {q(t.REVISION_DATE)}, ' ', 'g'), '(?i)\\bGPO\\b\\s*[:.\\s][^\\n]*', ' ', 'g')"
-
-
-def _found(c: str, *patterns: str) -> str:
-    return "list_sort(list_distinct(" + " || ".join(f"regexp_extract_all({c}, {q(p)})" for p in patterns) + "))"
-
-
-@query(f"""{_FORMS}, m AS (SELECT doc_no, {_masked('raw_text')} AS t FROM f)
-SELECT doc_no, array_to_string({_found('t', *t.DATES)}, '|') AS dates, array_to_string({_found('t', t.DOLLARS)}, '|') AS dollars, array_to_string({_found('t', t.CASE_NUMBERS)}, '|') AS case_numbers FROM m""")
+@query(sql.FACT_EXTRACT)
 def fact_extract(spark, sf_dir):
     f = fx.forms(spark, sf_dir).select("doc_no", t.facts(F.col("raw_text")).alias("x"))
     return f.select("doc_no", *[F.array_join(f"x.{k}", "|").alias(k) for k in ("dates", "dollars", "case_numbers")])
 
 
-@query(f"""{_FORMS}, m AS (SELECT doc_no, {_masked('raw_text')} AS t, {_masked("regexp_replace(raw_text, '[0-9]{4}', '', 'g')")} AS c FROM f)
-SELECT doc_no, array_to_string(list_sort(list_filter({_found('t', *t.DATES)}, lambda x: NOT list_contains({_found('c', *t.DATES)}, x))), '|') AS lost_dates,
- array_to_string(list_sort(list_filter({_found('t', t.CASE_NUMBERS)}, lambda x: NOT list_contains({_found('c', t.CASE_NUMBERS)}, x))), '|') AS lost_cases FROM m""")
+@query(sql.FACT_GUARDRAIL)
 def fact_guardrail(spark, sf_dir):
     """Facts that a lossy clean text (runs of four digits removed) no longer has."""
     f = fx.forms(spark, sf_dir).select("doc_no", t.facts(F.col("raw_text")).alias("r"), t.facts(F.regexp_replace("raw_text", "[0-9]{4}", "")).alias("c"))
     lost = lambda k: F.array_join(F.array_except(F.col("r")[k], F.col("c")[k]), "|")
-    return f.select("doc_no", lost("dates").alias("lost_dates"), lost("case_numbers").alias("lost_cases"))
-
-
-def _fact(c: str) -> str:
-    m = f"regexp_replace({c}, {q(t.REVISION_DATE)}, ' ', 'g')"
-    some = " OR ".join(f"regexp_matches({m}, {q(p)})" for p in (t.DOLLARS, t.CASE_NUMBERS, *t.DATES))
-    return f"(NOT regexp_matches({c}, '(?i)\\bGPO\\b') AND ({some}))"
-
+    return f.select("doc_no", *[lost(k).alias(f"lost_{k}") for k in ("dates", "dollars", "case_numbers")])
 
-_ART = "(length(x) >= 3 AND NOT " + _fact("x") + " AND (regexp_matches(x, '[@{}]|::') OR (regexp_matches(x, '\\p{L}') AND length(regexp_replace(x, '[\\p{L}\\p{N}]', '', 'g')) / length(x) > 0.3)))"
 
-
-@query(f"""
-WITH k AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS ws FROM documents),
-u AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM k),
-a AS (SELECT doc_id, i, x, {_ART} AS art FROM u),
-b AS (SELECT *, lag(art OR x = '[REDACTED]') OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM a)
-SELECT d.doc_id, CAST(count(*) FILTER (art AND NOT coalesce(prev, false)) AS INT) AS redactions,
- md5(coalesce(string_agg(CASE WHEN art THEN '[REDACTED]' ELSE x END, ' ' ORDER BY i) FILTER (NOT (art AND coalesce(prev, false))), '')) AS digest
-FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id GROUP BY d.doc_id""")
+@query(sql.REDACTION_LABELS)
 def redaction_labels(spark, sf_dir):
     d = fx.read(spark, sf_dir, "documents")
     u = d.select("doc_id", clean.redaction_units(F.col("text")).alias("u"))
     return u.select("doc_id", clean.n_labels(F.col("u")).alias("redactions"), F.md5(clean.labelled_text(F.col("u")).cast("binary")).alias("digest"))
 
 
-_S = "regexp_replace(line, '^\\s+|\\s+$', '', 'g')"
-_LINE_CLASS = f"""CASE WHEN s = '' OR {_fact('s')} THEN 'kept'
- WHEN length(s) <= 3 THEN CASE WHEN s IN ({', '.join(q(x) for x in clean.KEEP_SHORT)}) THEN 'kept' ELSE 'orphan' END
- WHEN len(w) >= 6 AND len(list_filter(w, lambda x: length(x) > 4)) = 0 AND 2 * len(list_filter(w, lambda x: regexp_matches(x, '^[aeiouAEIOU]+$'))) >= len(w) THEN 'rule-artifact'
- WHEN len(w) >= 6 AND 10 * len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]{{2,3}}$'))) >= 7 * len(w) THEN 'bureau-codes'
- WHEN length(regexp_replace(s, '[^A-Za-z]', '', 'g')) / length(s) < 0.40 THEN 'soup' ELSE 'kept' END"""
-
-
-@query(f"""{_FORMS}, l AS (SELECT doc_no, {_S} AS s FROM (SELECT doc_no, unnest(string_split(raw_text, chr(10))) AS line FROM f)),
-k AS (SELECT doc_no, s, regexp_extract_all(s, '\\S+') AS w FROM l)
-SELECT doc_no, {_LINE_CLASS} AS class, count(*) AS n FROM k WHERE s <> '' GROUP BY 1, 2""")
+@query(sql.LINE_CLASSES)
 def line_drop_classes(spark, sf_dir):
     ls = fx.forms(spark, sf_dir).select("doc_no", F.explode(t.lines(F.col("raw_text"))).alias("line")).where(t.strip(F.col("line")) != "")
     return ls.groupBy("doc_no", F.coalesce(clean.drop_class(F.col("line")), F.lit("kept")).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query(f"""{_FORMS} SELECT doc_no, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(raw_text, {q(t.EXEMPTION)}), lambda x: lower(regexp_replace(x, '[()\\s]', '', 'g'))))), ',') AS exemptions FROM f WHERE doc_no % 11 = 6""")
+@query(sql.EXEMPTIONS)
 def deletion_exemptions(spark, sf_dir):
-    f = fx.forms(spark, sf_dir).where("doc_no % 11 = 6")
-    return f.select("doc_no", F.array_join(t.exemptions(F.col("raw_text")), ",").alias("exemptions"))
+    return fx.forms(spark, sf_dir).select("doc_no", F.array_join(t.exemptions(F.col("raw_text")), ",").alias("exemptions"))
 
 
-@query(f"""{_FORMS}, l AS (SELECT doc_no, {_S} AS s FROM (SELECT doc_no, unnest(string_split(raw_text, chr(10))) AS line FROM f)),
-k AS (SELECT doc_no, s, regexp_extract_all(s, '\\S+') AS w, len(regexp_extract_all(s, {q(clean.STAMP)})) AS n FROM l)
-SELECT doc_no, count(*) AS stamps FROM k WHERE n >= 2 OR (n = 1 AND (regexp_matches(s, {q(clean.STAMP.removesuffix(chr(92) + 'b') + '[_' + chr(92) + 's]*_+')})
- OR (len(w) <= 3 AND len(list_filter(w, lambda x: NOT regexp_matches(x, {q('(?i)^(?:' + clean._STAMPS + ')$')}) AND regexp_matches(x, '\\p{{L}}'))) = 0))) GROUP BY 1""")
+@query(sql.STAMP_LINES)
 def stamp_lines(spark, sf_dir):
     ls = fx.forms(spark, sf_dir).select("doc_no", F.explode(t.lines(F.col("raw_text"))).alias("line"))
     return ls.where(clean.is_stamp(F.col("line"))).groupBy("doc_no").agg(F.count("*").alias("stamps"))
 
 
-@query()
+@query(sql.CLEAN_PAGES)
 def clean_pages(spark, sf_dir):
     """The whole cleaner on the form pages."""
-    c = clean.clean_pages(fx.forms(spark, sf_dir))
-    return c.select("source_stem", "page_no", "template", "template_confidence", "routed_to_missing_info", "deletion", "clipping", "clean_text", "boilerplate_lines_removed", "redactions_inserted", "cleaning_flags")
+    entries = F.transform(F.map_entries("clipping"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    flags = F.transform("cleaning_flags", lambda x: F.concat(x["type"], F.lit(":"), F.array_join(F.array_sort(x["lost"]), ",")))
+    return _cleaned(spark, sf_dir).select(
+        "source_stem", "page_no", "template", "template_confidence", F.col("routed_to_missing_info").alias("routed"), F.coalesce("deletion.reference", F.lit("")).alias("reference"), F.coalesce(text_list("deletion.exemptions"), F.lit("")).alias("exemptions"),
+        F.coalesce(text_list(entries, "|"), F.lit("")).alias("clipping"), "clean_text", "boilerplate_lines_removed", "redactions_inserted", text_list(flags, "|").alias("flags"),
+    )
 
 
-@query()
+@query(sql.GROUP_DOCUMENTS)
 def group_documents(spark, sf_dir):
     """The grouping state machine over every source."""
     return fx.grouped(spark, sf_dir).select("source_stem", "page_no", "doc_id", "doc_kind", "doc_page_index", "doc_page_count")
 
 
-@query()
+@query(sql.DOC_SUMMARY)
 def doc_summary(spark, sf_dir):
-    return group.doc_summaries(fx.grouped(spark, sf_dir))
+    d = group.doc_summaries(fx.grouped(spark, sf_dir))
+    return d.select("source_stem", "doc_id", "kind", text_list("page_nos").alias("page_nos"), "page_count", "first_template", text_list("case_nums").alias("case_nums"))
 
 
-@query()
+@query(sql.DOC_SIZES)
 def doc_size_classes(spark, sf_dir):
     return group.doc_size_classes(group.doc_summaries(fx.grouped(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ chunks
-_ABBR = f"(^|[ \\t\\n])({'|'.join(chunk.ABBREVIATIONS)}|\\p{{Lu}})([.!?])(\\s)"
-_HELD = "text"
-for _ in range(2):
-    _HELD = f"regexp_replace({_HELD}, {q(_ABBR)}, '\\1\\2\\3' || chr(2) || '\\4', 'g')"
-_SENTS = f"""list_filter(list_transform(string_split(replace(regexp_replace({_HELD}, '([.!?])\\s+([A-Z\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(2), ''), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"""
-
-
-@query(f"WITH s AS (SELECT doc_id, {_SENTS} AS ss FROM documents) SELECT doc_id, CAST(len(ss) AS INT) AS sentences, md5(array_to_string(ss, chr(10))) AS digest FROM s")
+@query(sql.SENTENCES)
 def sentence_split(spark, sf_dir):
     s = fx.read(spark, sf_dir, "documents").select("doc_id", chunk.sentences(F.col("text")).alias("ss"))
     return s.select("doc_id", F.size("ss").alias("sentences"), F.md5(F.array_join("ss", "\n").cast("binary")).alias("digest"))
@@ -299,24 +264,13 @@ def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return g, chunk.build_chunks(g, group.doc_summaries(g))
 
 
-@query()
+@query(sql.PACK_CHUNKS)
 def pack_chunks(spark, sf_dir):
-    return _chunks(spark, sf_dir)[1]
-
-
-_WHOLE_DOC = """WITH RECURSIVE d AS (SELECT doc_id, list_transform(ss, lambda x: greatest(1, len(regexp_extract_all(x, '\\S+')) * 13 // 10)) AS tok FROM (SELECT doc_id, {sents} AS ss FROM documents)),
-b AS (SELECT doc_id, tok, len(tok) AS n, list_sum(tok) AS total FROM d WHERE len(tok) > 0),
-u AS (SELECT doc_id, n, unnest(range(0, n + 1)) AS i, tok FROM b WHERE total > 600),
-p AS (SELECT doc_id, n, i, CAST(coalesce(sum(CASE WHEN i > 0 THEN tok[i] END) OVER (PARTITION BY doc_id ORDER BY i), 0) AS BIGINT) AS s FROM u),
-e AS (SELECT a.doc_id, a.n, a.i, a.s, greatest(a.i + 1, max(z.i)) AS j FROM p a JOIN p z ON a.doc_id = z.doc_id AND z.i BETWEEN a.i AND a.i + 501 AND z.s - a.s <= 500 WHERE a.i < a.n GROUP BY 1, 2, 3, 4),
-f AS (SELECT e.doc_id, e.n, e.i, e.j, z.s - e.s AS tokens, z.s AS at FROM e JOIN p z ON z.doc_id = e.doc_id AND z.i = e.j),
-g AS (SELECT f.doc_id, f.n, f.i, f.j, f.tokens, greatest(f.i + 1, coalesce(max(z.i), 0)) AS nxt FROM f LEFT JOIN p z ON z.doc_id = f.doc_id AND z.i BETWEEN f.i AND f.j AND f.at - z.s >= 100 GROUP BY 1, 2, 3, 4, 5),
-r AS (SELECT doc_id, 1 AS k, i, j, tokens, nxt, n FROM g WHERE i = 0 UNION ALL SELECT g.doc_id, r.k + 1, g.i, g.j, g.tokens, g.nxt, g.n FROM r JOIN g ON g.doc_id = r.doc_id AND g.i = r.nxt AND r.j < r.n)"""
-_WHOLE_DOC = _WHOLE_DOC.replace("{sents}", _SENTS)
+    c = _chunks(spark, sf_dir)[1]
+    return c.select("chunk_id", "doc_id", "source_stem", "doc_kind", "doc_template", text_list("page_nos").alias("page_nos"), text_list("case_nums").alias("case_nums"), "chunk_index", "chunk_count", "token_estimate", "char_count", "text")
 
 
-@query(f"""{_WHOLE_DOC} SELECT doc_id, CAST(k AS INT) AS piece, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(tokens AS INT) AS tokens FROM r
-UNION ALL SELECT doc_id, 1, 0, CAST(n AS INT), CAST(total AS INT) FROM b WHERE total <= 600""")
+@query(sql.PACK_BOUNDS)
 def pack_bounds(spark, sf_dir):
     """Sentence ranges of each document's chunks: whole documents up to 600 tokens, else 500 with 100 of overlap."""
     s = fx.read(spark, sf_dir, "documents").select("doc_id", F.transform(chunk.sentences(F.col("text")), lambda x: F.struct(x.alias("s"), F.lit(1).alias("page"), t.token_estimate(x).alias("tok"))).alias("sents"))
@@ -329,25 +283,46 @@ def pack_bounds(spark, sf_dir):
     return big.unionByName(s.where("total <= 600").select("doc_id", F.lit(1).alias("piece"), F.lit(0).alias("i"), F.size("sents").alias("j"), F.col("total").alias("tokens")))
 
 
-@query()
+@query(sql.CHUNK_STATS)
 def chunk_stats(spark, sf_dir):
     return chunk.chunk_stats(_chunks(spark, sf_dir)[1])
 
 
-@query()
+@query(sql.TOKEN_RANGES)
+def token_ranges(spark, sf_dir):
+    return chunk.token_ranges(_chunks(spark, sf_dir)[1])
+
+
+@query(sql.MULTI_CHUNK_DOCS)
+def multi_chunk_docs(spark, sf_dir):
+    return chunk.multi_chunk_docs(_chunks(spark, sf_dir)[1]).withColumn("page_nos", text_list("page_nos"))
+
+
+@query(sql.CHUNK_INTEGRITY)
 def chunk_integrity(spark, sf_dir):
     return audit.chunk_integrity(_chunks(spark, sf_dir)[1])
 
 
-@query()
+@query(sql.CHUNK_AUDIT)
 def chunk_audit(spark, sf_dir):
     """Chunks with faults, redaction load and labels."""
-    c = audit.with_chunk_faults(_chunks(spark, sf_dir)[1])
-    return c.select("chunk_id", "faults").join(audit.redaction_load(c), "chunk_id")
+    c = audit.redaction_load(audit.with_chunk_faults(_chunks(spark, sf_dir)[1]), "faults")
+    return c.select("chunk_id", text_list("faults", "|").alias("faults"), "redactions", "page_marks", F.round("share", 6).alias("share"), "non_ascii", F.round("letter_ratio", 6).alias("letter_ratio"))
 
 
-@query()
+@query(sql.REDACTION_SUMMARY)
+def redaction_summary(spark, sf_dir):
+    return audit.redaction_summary(_chunks(spark, sf_dir)[1])
+
+
+@query(sql.METADATA_COUNTS)
+def chunk_metadata_counts(spark, sf_dir):
+    return audit.metadata_counts(_chunks(spark, sf_dir)[1])
+
+
+@query(sql.COVERAGE_GAP)
 def coverage_gap(spark, sf_dir):
+    """The noise pages are documents without a chunk."""
     return audit.coverage_gaps(*_chunks(spark, sf_dir))
 
 
@@ -420,7 +395,7 @@ def upsert_idempotent(spark, sf_dir):
 # ------------------------------------------------------------------ answers and evaluation
 _ANS = f"WITH a AS ({fx.ANSWERS.replace('array[', '[').replace('named(', '(')})"
 _CITE = q(t.CITATION)
-_REF = f"(refused OR (regexp_matches(lower(answer), {q(evaluate.REFUSAL_PHRASES)}) AND NOT regexp_matches(answer, {_CITE})))"
+_REF = f"(refused OR (regexp_matches(lower(answer), {q('|'.join(fixed.REFUSAL_PHRASES))}) AND NOT regexp_matches(answer, {_CITE})))"
 _EXPECT = "CASE WHEN bucket = 0 THEN [] ELSE ['doc-' || CAST(bucket % 3 AS VARCHAR)] END"
 _CHECKED = f"""{_ANS}, b AS (SELECT *, {_REF} AS r, {_EXPECT} AS want, bucket % 4 = 3 AS shy, list_distinct(regexp_extract_all(answer, {_CITE}, 1)) AS cited FROM a),
 c AS (SELECT id, r, r = shy AS refusal_correct, CASE WHEN len(want) > 0 THEN list_has_any(hits, want) END AS top_doc_match, CASE WHEN NOT r THEN len(cited) > 0 END AS citations_present,
@@ -460,17 +435,17 @@ def cost_by_model(spark, sf_dir):
 def _qa(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = fx.read(spark, sf_dir, "embeddings")
     d = fx.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "text", "source")
-    v = e.join(d, F.col("vec_id") == F.col("k")).select(F.format_string("c%06d", "vec_id").alias("chunk_id"), "embedding", F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("doc_id"), F.lit("loose").alias("doc_kind"), F.array((F.col("vec_id") % 9).cast("int")).alias("page_nos"), F.array("source").alias("case_nums"), F.left("text", F.lit(80)).alias("text"))
-    qs = e.where("vec_id % 100 = 7").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("what about "), F.col("label").cast("string")).alias("question"), F.col("embedding").alias("q"))
+    v = e.join(d, F.col("vec_id") == F.col("k")).select(F.format_string("c%06d", "vec_id").alias("chunk_id"), "embedding", F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("doc_id"), F.lit("loose").alias("doc_kind"), F.array((F.col("vec_id") % 9).cast("int")).alias("page_nos"), F.array("source").alias("case_nums"), "text")
+    qs = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("what about "), F.col("label").cast("string")).alias("question"), F.col("embedding").alias("q"))
     return qs, v
 
 
 _HITS = f"""WITH v AS (SELECT e.vec_id, e.label, e.embedding, d.text, d.source FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
-h AS (SELECT q.vec_id AS query_id, q.label AS ql, e.*, {_COS} AS sc, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, printf('c%06d', e.vec_id)) AS rk FROM v e, embeddings q WHERE q.vec_id % 100 = 7)"""
+h AS (SELECT q.vec_id AS query_id, q.label AS ql, e.*, {_COS} AS sc, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, printf('c%06d', e.vec_id)) AS rk FROM v e, embeddings q WHERE q.vec_id % 50 = 0)"""
 
 
 @query(f"""{_HITS}
-SELECT query_id, md5('DOCUMENT EXCERPTS:' || chr(10) || chr(10) || string_agg('[' || rk || '] doc-' || vec_id || ' | pages ' || (vec_id % 9) || ' | kind=loose | case#=' || source || ' | retrieval_score=' || printf('%.3f', sc) || chr(10) || left(text, 80), chr(10) || chr(10) ORDER BY rk)
+SELECT query_id, md5('DOCUMENT EXCERPTS:' || chr(10) || chr(10) || string_agg('[' || rk || '] doc-' || vec_id || ' | pages ' || (vec_id % 9) || ' | kind=loose | case#=' || source || ' | retrieval_score=' || printf('%.3f', sc) || chr(10) || text, chr(10) || chr(10) ORDER BY rk)
  || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'QUESTION: what about ' || any_value(ql) || chr(10) || chr(10) || {q(answer.REMINDER)}) AS digest FROM h WHERE rk <= 3 GROUP BY query_id""")
 def prompt_assembly(spark, sf_dir):
     qs, v = _qa(spark, sf_dir)
@@ -487,31 +462,26 @@ def answer_loop(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ audits
-_SIG = audit.signals()
-_ASCII_SAFE = {k: p for k, p in _SIG.items() if k not in ("height_weight", "proper_noun_run", "routing")}
-
-
-@query(f"{_FORMS} SELECT doc_no, " + ", ".join(f"regexp_matches(raw_text, {q(p)}) AS {k}" for k, p in _ASCII_SAFE.items()) + " FROM f WHERE regexp_matches(raw_text, '^[\\x00-\\x7F]*$')")
+@query(sql.FACT_SIGNALS)
 def fact_signals(spark, sf_dir):
-    """Signals on the ASCII pages, where the two engines' word boundaries agree."""
-    f = fx.forms(spark, sf_dir).where(t.non_ascii(F.col("raw_text")) == 0).select("doc_no", audit.fact_signals(F.col("raw_text"), _ASCII_SAFE).alias("tags"))
-    return f.select("doc_no", *[F.array_contains("tags", k).alias(k) for k in _ASCII_SAFE])
+    f = fx.forms(spark, sf_dir).select("doc_no", audit.fact_signals(F.col("raw_text")).alias("tags"))
+    return f.select("doc_no", *[F.array_contains("tags", k).alias(k) for k in fixed.FACT_SIGNALS])
 
 
-@query()
+@query(sql.LOST_FACT_LINES)
 def lost_fact_lines(spark, sf_dir):
-    return audit.lost_fact_lines(clean.clean_pages(fx.forms(spark, sf_dir)))
+    return audit.lost_fact_lines(_cleaned(spark, sf_dir)).select("source_stem", "page_no", "line_no", "line", text_list("tags").alias("tags"))
 
 
-@query()
+@query(sql.RESIDUAL_NOISE)
 def residual_noise(spark, sf_dir):
-    c = clean.clean_pages(fx.forms(spark, sf_dir))
-    return c.select("source_stem", "page_no", F.inline(audit.residual_noise(F.col("clean_text"))))
+    n = _cleaned(spark, sf_dir).select("source_stem", "page_no", F.inline(audit.residual_noise(F.col("clean_text"))))
+    return n.groupBy("source_stem", "page_no", "rule").agg(F.count("*").alias("times"), F.sum(F.length("found").cast("long")).alias("chars"))
 
 
-@query()
+@query(sql.AUDIT_COUNTS)
 def audit_counts(spark, sf_dir):
-    return audit.audit_counts(clean.clean_pages(fx.forms(spark, sf_dir)))
+    return audit.audit_counts(_cleaned(spark, sf_dir))
 
 
 @query("""
