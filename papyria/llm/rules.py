@@ -23,7 +23,7 @@ from .common import WS, stored, with_maybe, words_of
 
 #: Buckets: at least LEAST, and PER_ROOT for each root of a byte; sf0.1, where the threshold was set, has about LEAST.
 LEAST, PER_ROOT = 1 << 16, 12
-#: The weights of so many buckets are broadcast (some 170 MB).
+#: The weights of so many buckets are broadcast (some 170 MB), and so many ids of target documents.
 BROADCAST = 1 << 22
 #: Mean log ratio under which a document is rejected.
 THRESHOLD = -0.1
@@ -51,14 +51,19 @@ def bucket_count(docs: DataFrame) -> int:
     return max(LEAST, math.isqrt(PER_ROOT * PER_ROOT * size))
 
 
-def ngram_weights(docs: DataFrame, target_ids: DataFrame, buckets: int) -> DataFrame:
+def ngram_weights(docs: DataFrame, target_ids: DataFrame, buckets: int, broadcast_ids: int = BROADCAST) -> DataFrame:
     """b, w: log p_target - log p_raw of each bucket that docs fill, both with add-one smoothing over all buckets.
 
-    target_ids: doc_id, distinct, of any number. Documents that are surely not among them stay out of the join."""
-    d = with_maybe(docs.select("doc_id", "text"), "doc_id", target_ids)
-    mark = target_ids.select(F.col("doc_id").alias("__id"), F.lit(1).alias("__t")).hint("merge")
-    maybe = d.where("__maybe").join(mark, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.coalesce("__t", F.lit(0)).alias("t"))
-    marked = maybe.unionAll(d.where("not __maybe").select("doc_id", "text", F.lit(0).alias("t")))
+    target_ids: doc_id, distinct, of any number; up to broadcast_ids of them are broadcast (32 MB). Beyond that they are joined,
+    and documents that are surely not among them stay out of the join."""
+    ids = stored(target_ids.select(F.col("doc_id").alias("__id")), "target-ids").withColumn("__t", F.lit(1))
+    docs, found = docs.select("doc_id", "text"), F.col("doc_id") == F.col("__id")
+    if ids.count() <= broadcast_ids:
+        marked = docs.join(F.broadcast(ids), found, "left").select("doc_id", "text", F.coalesce("__t", F.lit(0)).alias("t"))
+    else:
+        d = with_maybe(docs, "doc_id", ids.select("__id"))
+        maybe = d.where("__maybe").join(ids.hint("merge"), found, "left").select("doc_id", "text", F.coalesce("__t", F.lit(0)).alias("t"))
+        marked = maybe.unionAll(d.where("not __maybe").select("doc_id", "text", F.lit(0).alias("t")))
     grams = _hashed(marked, "t").select("t", F.explode(_ngrams(buckets)).alias("b"))
     counts = stored(grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good")), "ngram-counts")
     raws, goods = counts.agg(F.sum("raw"), F.sum("good")).first()
@@ -112,7 +117,7 @@ def good_ids(labels: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float = THRESHOLD, min_words: int = 50, repeat_pct: int = 50, broadcast: int = BROADCAST) -> DataFrame:
     """doc_id, base counts, ngram_score double, base_failed, kept."""
     buckets = bucket_count(docs) if buckets is None else buckets
-    weights = ngram_weights(docs, good_ids(labels), buckets).hint("broadcast" if buckets <= broadcast else "merge")
+    weights = ngram_weights(docs, good_ids(labels), buckets, broadcast).hint("broadcast" if buckets <= broadcast else "merge")
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     d = base_counts(_hashed(docs)).select(F.monotonically_increasing_id().alias("__row"), *columns, _ngrams(buckets).alias("__g"))
     # the counts go with a row's n-grams, so that the row is put together by one aggregation, mostly within its task

@@ -348,12 +348,13 @@ def test_every_good_document_is_in_the_target(spark):
 
 
 @pytest.mark.parametrize("options", [{}, {"broadcast": 0}])
-def test_buckets_grow_with_the_text(spark, options):
-    """Two words of one bucket of 2 ** 16 are told apart in a corpus of over (2 ** 17 / 12) ** 2 bytes."""
+def test_buckets_grow_with_the_text(spark, options, monkeypatch):
+    """Two words of one bucket of 2 ** 16 are told apart in a larger corpus. A large PER_ROOT stands for many bytes."""
     from xxhash import xxh64_intdigest
 
+    monkeypatch.setattr(rules, "PER_ROOT", 12 * 64)
     signed = lambda h: h - (1 << 64) if h >> 63 else h
-    docs = spark.range(102).selectExpr("id as doc_id", "repeat(case when id < 100 then 'filler ' when id = 100 then 'GOODWRD ' else 'BADWORD ' end, 220000) as text")
+    docs = spark.range(102).selectExpr("id as doc_id", "repeat(case when id < 100 then 'filler ' when id = 100 then 'GOODWRD ' else 'BADWORD ' end, 54) as text")
     buckets = rules.bucket_count(docs)
     assert 1 << 17 < buckets < 1 << 18 and rules.bucket_count(docs.limit(1)) == 1 << 16 == rules.bucket_count(docs.where("false"))
     assert abs(rules.bucket_count(docs.unionAll(docs).unionAll(docs).unionAll(docs)) - 2 * buckets) < 3
