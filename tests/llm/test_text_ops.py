@@ -237,10 +237,31 @@ def brute_near(texts, k, percent):
 
 
 @pytest.mark.parametrize("cluster", [512, 4])
-def test_near_duplicates(spark, docs, cluster):
+def test_near_duplicates(spark, docs, cluster, monkeypatch):
+    monkeypatch.setattr(minhash, "HOT_SHARE", 20_000 if cluster > 4 else 2)
     assert by_id(minhash.near_duplicates(docs, k=3, percent=85, cluster=cluster)) == brute_near(enumerate(cases.texts()), 3, 85)
 
 
+def test_a_chain_of_near_copies_is_one_component(spark):
+    """Neighbours are similar and the ends are not, so the smallest of a bucket does not reach all of it."""
+    words = [f"w{i}" for i in range(400)]
+    chain = [(i, " ".join(words[4 * i : 4 * i + 120])) for i in range(60)] + [(100 + i, " ".join(words[4 * i : 4 * i + 120][::-1])) for i in range(60)]
+    want = brute_near(chain, 3, 85)
+    assert {r["component_id"] for r in want.values()} == {0, 100}
+    for cluster in (512, 5):
+        assert by_id(minhash.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string"), k=3, percent=85, cluster=cluster)) == want
+
+
+def test_minima_are_of_a_universal_family():
+    a, b = minhash._family(4000)
+    x, y = np.array([3 << 32], np.uint64), np.array([900 << 32], np.uint64)
+    h, g = minhash.minima(x, a, b), minhash.minima(y, a, b)
+    assert h.max() < 1 << 32 and abs((h < g).mean() - 0.5) < 0.05 and abs((h >> np.uint64(31)).mean() - 0.5) < 0.05
+    sets = [np.arange(100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(20, 120, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)]
+    assert abs((minhash.minima(sets[0], a, b) == minhash.minima(sets[1], a, b)).mean() - 80 / 120) < 0.05
+    assert minhash.similar(np.array([1, 2, 3], np.uint64), np.array([2, 3, 4, 9], np.uint64), 40) and not minhash.similar(np.array([1, 2], np.uint64), np.array([3], np.uint64), 1)
+
+
 def test_near_duplicate_edges(spark, docs):
     assert minhash.near_duplicates(cases.empty(spark)).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "A b c d e f"), (3, None)], "doc_id long, text string")
@@ -370,4 +391,4 @@ def test_buckets_grow_with_the_text(spark, options, monkeypatch):
     labels = docs.selectExpr("doc_id", "int(doc_id <> 101) as quality")
     d = by_id(rules.quality_rules(docs, labels, **options))
     # the bad word and its pair are never in the target
-    assert d[100]["ngram_score"] > 0 > d[101]["ngram_score"] + 9
+    assert d[100]["ngram_score"] > 0 > d[101]["ngram_score"] + 3
