@@ -70,10 +70,12 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned pages with their documents: each stage is written once and read by what follows."""
     from ..operators.clean import clean_pages
     from ..operators.group import group_pages
+    from ..sources.tables import staged
 
-    return group_pages(clean_pages(forms(spark, sf_dir)))
+    return staged(group_pages(staged(clean_pages(forms(spark, sf_dir)), "clean")), "grouped")
 
 
 #: Assistant turns as answers under test: some cite a hit, some a stranger, some refuse.

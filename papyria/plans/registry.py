@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import answer, audit, chunk, clean, evaluate, group, opinions, quality, repair, search
-from ..sources.tables import VectorTable, merged
+from ..sources import tables as io
+from ..sources.tables import VectorTable, merged, staged
 from .. import fixed
 from . import fixtures as fx
 from . import oracles as sql
@@ -261,7 +262,7 @@ def sentence_split(spark, sf_dir):
 
 def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     g = fx.grouped(spark, sf_dir)
-    return g, chunk.build_chunks(g, group.doc_summaries(g))
+    return g, staged(chunk.build_chunks(g, group.doc_summaries(g)), "chunks")
 
 
 @query(sql.PACK_CHUNKS)
@@ -481,7 +482,7 @@ def residual_noise(spark, sf_dir):
 
 @query(sql.AUDIT_COUNTS)
 def audit_counts(spark, sf_dir):
-    return audit.audit_counts(_cleaned(spark, sf_dir))
+    return audit.audit_counts(staged(_cleaned(spark, sf_dir), "clean"))
 
 
 @query("""
@@ -493,4 +494,117 @@ def event_windows(spark, sf_dir):
     return w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "events", "total")
 
 
+# ------------------------------------------------------------------ sources and sinks, there and back
+_PAGE_ROWS = f"SELECT source_stem, page_no, md5(raw_text) AS digest FROM ({fx.FORMS}) f"
+
+
+@query(_PAGE_ROWS)
+def jsonl_pages(spark, sf_dir):
+    """Pages written as JSON lines, a directory for each source, and scanned again."""
+    path = io.shared_folder(spark, "pages-jsonl")
+    io.write_pages(fx.forms(spark, sf_dir).select("source_stem", "page_no", "raw_text"), path)
+    return io.read_pages(spark, path).select("source_stem", "page_no", F.md5(F.col("raw_text").cast("binary")).alias("digest"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 4 = 0 THEN 'second' ELSE 'first' END AS note, CAST(n_chars AS INT) AS page_count FROM documents")
+def jsonl_documents_last_wins(spark, sf_dir):
+    """A quarter of the documents stands in two files; the line of the later file is the one that counts."""
+    path = io.shared_folder(spark, "docs-jsonl")
+    d = fx.read(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("int").alias("page_count"))
+    rows = lambda x, note: x.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("loose").alias("kind"), "page_count", F.lit(note).alias("note"))
+    io.write_json_lines(rows(d, "first"), f"{path}/a")
+    io.write_json_lines(rows(d.where("doc_id % 4 = 0"), "second"), f"{path}/b")
+    return io.read_documents(spark, path).select("doc_id", "note", "page_count")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source AS source_stem, md5(text) AS digest FROM documents")
+def jsonl_chunks(spark, sf_dir):
+    path = io.shared_folder(spark, "chunks-jsonl")
+    d = fx.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("source_stem"), "text")
+    io.write_json_lines(d, path)
+    return io.read_chunks(spark, path).select("chunk_id", "source_stem", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS id, text AS question, CASE WHEN item_id % 2 = 0 THEN 'answer' ELSE 'refuse' END AS expected_behavior, 'doc-' || item_id AS expected FROM benchmark")
+def jsonl_eval_set(spark, sf_dir):
+    path = io.shared_folder(spark, "eval-jsonl")
+    b = fx.read(spark, sf_dir, "benchmark")
+    io.write_json_lines(b.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.when(F.col("item_id") % 2 == 0, "answer").otherwise("refuse").alias("expected_behavior"), F.array(F.concat(F.lit("doc-"), "item_id")).alias("expected_doc_ids")), path)
+    return io.read_eval_set(spark, path).select("id", "question", "expected_behavior", text_list("expected_doc_ids").alias("expected"))
+
+
+@query("SELECT source AS source_stem, printf('%03d', page_no) AS page, md5(text) AS digest FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_no, text FROM documents) WHERE text <> ''")
+def page_text_files(spark, sf_dir):
+    """A text file for each page of each source, and what stands in them."""
+    path = io.shared_folder(spark, "page-texts")
+    io.write_page_texts(fx.pages(spark, sf_dir), path, "raw_text")
+    back = spark.read.text(path, wholetext=True)
+    return back.select("source_stem", F.format_string("%03d", F.col("page").cast("int")).alias("page"), F.md5(F.regexp_replace("value", "\u0000$", "").cast("binary")).alias("digest"))
+
+
+@query(_P + f" SELECT CAST(page_no AS VARCHAR) AS page_no, {_TIER} AS tier, CAST(char_count AS VARCHAR) AS char_count, count(*) AS n FROM m GROUP BY 1, 2, 3")
+def csv_report(spark, sf_dir):
+    path = io.shared_folder(spark, "report-csv")
+    io.write_csv_report(quality.with_tiers(fx.pages(spark, sf_dir)), path)
+    return spark.read.option("header", True).csv(path).groupBy("page_no", "tier", "char_count").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT 'op-' || page_id AS slug, md5(html) AS digest, CASE WHEN page_id % 3 = 0 THEN '?' ELSE (page_id % 50) || ' F.2d ' || page_id END AS cite, CAST(CASE WHEN page_id % 3 = 0 THEN 0 ELSE page_id END AS INT) AS start_page,
+ CASE WHEN page_id % 2 = 0 THEN '88-' || page_id END AS docket FROM pages""")
+def opinion_json(spark, sf_dir):
+    """Opinions as nested JSON objects, a file each: first usable body, citation, docket number."""
+    path, p = io.shared_folder(spark, "opinions"), fx.read(spark, sf_dir, "pages")
+    odd = F.col("page_id") % 2 == 1
+    opinion = F.struct(F.col("page_id").alias("id"), F.when(odd, "").otherwise("plain").alias("plain_text"), F.when(odd, F.col("html")).alias("html"), F.when(odd, F.lit("")).otherwise(F.col("html")).alias("html_lawbox"))
+    citation = F.struct((F.col("page_id") % 50).cast("string").alias("volume"), F.lit("F.2d").alias("reporter"), F.when(F.col("page_id") % 3 != 0, F.col("page_id").cast("string")).alias("page"))
+    cluster = F.struct(F.when(odd, "no number").otherwise(F.concat(F.lit("No. 88-"), "page_id", F.lit("."))).alias("headmatter"), F.array(citation).alias("citations"))
+    io.write_opinions(p.select(F.concat(F.lit("op-"), "page_id").alias("slug"), F.to_json(F.struct(opinion.alias("opinion"), cluster.alias("cluster"))).alias("payload")), path)
+    return io.read_opinions(spark, path).select("slug", F.md5(F.col("html").cast("binary")).alias("digest"), "cite", "start_page", "docket")
+
+
+@query("""
+SELECT CAST(doc_id AS VARCHAR) AS id, 'pages' AS namespace, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS version, 2 AS table_version FROM documents
+UNION ALL SELECT 'c' || conv_id, 'talks', 1, 3 FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def vector_table(spark, sf_dir):
+    """Two upserts of one namespace and one of another into a keyed table, which is read back and counted."""
+    table = VectorTable(spark, io.shared_folder(spark, "vectors"))
+    table.create(recreate=True)
+    d = fx.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("_id"), "doc_id")
+    table.upsert(d.withColumn("version", F.lit(1)), "pages")
+    first = table.upsert(d.where("doc_id % 3 = 0").withColumn("version", F.lit(2)), "pages")
+    talks = fx.read(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("_id")).distinct().withColumn("version", F.lit(1))
+    second = table.upsert(talks, "talks")
+    table.verify("talks", 1)
+    return table.read().select(F.col("_id").alias("id"), "namespace", "version", F.when(F.col("namespace") == "pages", first).otherwise(second).alias("table_version"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS _id, coalesce(nullif('', ''), 'unknown') AS doc_template, CAST(doc_id % 9 AS VARCHAR) || ',' || CAST(doc_id % 9 + 1 AS VARCHAR) AS page_nos, left(text, 280) AS snippet FROM documents")
+def chunk_records(spark, sf_dir):
+    """Chunks as records of a vector store (ids, defaults, page numbers as text) and a hit's snippet."""
+    d = fx.read(spark, sf_dir, "documents")
+    n = (F.col("doc_id") % 9).cast("int")
+    c = d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("d").alias("doc_id"), F.lit("s").alias("source_stem"), F.lit(None).cast("string").alias("doc_kind"), F.lit(None).cast("string").alias("doc_template"), F.array(n, n + 1).alias("page_nos"), F.lit(None).cast("array<string>").alias("case_nums"), F.lit(1).alias("chunk_index"), F.lit(1).alias("chunk_count"), F.lit(1).alias("token_estimate"), F.lit(1).alias("char_count"), "text")
+    r = search.to_records(c)
+    return r.select("_id", "doc_template", text_list("page_nos").alias("page_nos"), F.left("text", F.lit(280)).alias("snippet"))
+
+
+@query("SELECT lang AS value, count(*) AS n FROM documents WHERE source IN ('src0', 'src3') GROUP BY lang")
+def counted_subset(spark, sf_dir):
+    """The rows of two named sources, counted by language, the most frequent first."""
+    return io.by_count(io.only(fx.read(spark, sf_dir, "documents"), "source", "src0, src3").select(F.col("lang").alias("value")), "value")
+
+
+@query(_P + f""", x AS (SELECT *, {_TIER} AS tier FROM m), g AS (SELECT tier, count(*) AS pages, sum(count(*)) OVER () AS n, sum(count(*) FILTER (tier IN ('GOOD', 'OK'))) OVER () AS good FROM x GROUP BY tier)
+SELECT tier, pages, round(pages / n, 6) AS share, round(good / n, 6) AS usable_share, CASE WHEN good / n >= 0.8 THEN 'Healthy' WHEN good / n >= 0.6 THEN 'Mixed' ELSE 'Needs work' END AS verdict FROM g""")
+def tier_report(spark, sf_dir):
+    r = quality.tier_report(fx.pages(spark, sf_dir))
+    return r.select("tier", "pages", F.round("share", 6).alias("share"), F.round("usable_share", 6).alias("usable_share"), "verdict")
+
+
+@query(_P + f" SELECT doc_no, {_TIER} AS tier FROM m WHERE {_TIER} IN ('EMPTY', 'POOR', 'REVIEW')")
+def worst_pages(spark, sf_dir):
+    return quality.worst_first(fx.pages(spark, sf_dir)).select("doc_no", "tier")
+
+
 __all__ = ["ORACLES", "QUERIES", "VectorTable"]

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
+import time
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +21,31 @@ OPINION = "opinion struct<id:bigint,plain_text:string,html:string,html_lawbox:st
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; a broken line or a wrong type is an error, blank lines are skipped."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or on one machine a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="papyria-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/papyria/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a stage once to the shared folder and read it: what follows several times is computed once, and a lost executor
+    costs no more than its tasks."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of <source_stem>/pages.jsonl files; the directory names the source."""
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
+    """Pages of <source_stem>/ or source_stem=<stem>/ directories of JSON lines; the directory names the source."""
+    stem = F.regexp_extract(F.input_file_name(), r"(?:source_stem=)?([^/=]+)/[^/]+$", 1)
     return read_json_lines(spark, path, PAGE).withColumn("source_stem", F.url_decode(stem))
 
 
@@ -42,7 +65,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Documents by id; a missing file is an empty table and the last line of an id wins."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], DOCUMENT)
-    d = read_json_lines(spark, path, DOCUMENT).withColumn("__at", F.monotonically_increasing_id())
+    # files by name, then blocks of a file, then lines of a block: not the order in which splits are dealt to tasks
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    d = read_json_lines(spark, path, DOCUMENT).select("*", at.alias("__at"))
     columns = [c for c in d.columns if c != "__at"]
     return d.groupBy("doc_id").agg(F.max_by(F.struct(*columns), "__at").alias("d")).select("d.*")
 
@@ -56,8 +81,8 @@ def read_opinions(spark: SparkSession, path: str) -> DataFrame:
     from ..functions import text as t
     from ..operators.opinions import citation_of, first_text
 
-    o = spark.read.schema(OPINION).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    slug = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
+    o = spark.read.schema(OPINION).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(path)
+    slug = F.coalesce(F.nullif(F.regexp_extract(F.input_file_name(), r"slug=([^/]+)/", 1), F.lit("")), F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
     o = o.select(slug.alias("slug"), "opinion.*", "cluster.citations", "cluster.headmatter")
     c = citation_of(F.coalesce("citations", F.array().cast("array<struct<volume:string,reporter:string,page:string>>")))
     return o.select("slug", first_text("html_lawbox", "html", "plain_text").alias("html"), c["cite"].alias("cite"), c["start_page"].alias("start_page"), t.docket_number(F.coalesce("headmatter", "plain_text", F.lit(""))).alias("docket"))
@@ -75,10 +100,36 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_pages(pages: DataFrame, path: str) -> None:
+    """JSON lines in a directory for each source, as read_pages reads them."""
+    pages.write.mode("overwrite").option("ignoreNullFields", False).partitionBy("source_stem").json(path)
+
+
 def write_page_texts(pages: DataFrame, path: str, column: str = "clean_text") -> None:
-    """A directory page=NNN of text for each page that has any."""
+    """A directory source_stem=<stem>/page=NNN of text for each page that has any."""
     p = pages.where(F.coalesce(F.col(column), F.lit("")) != "")
-    p.select(F.format_string("%03d", "page_no").alias("page"), F.col(column).alias("value")).write.mode("overwrite").partitionBy("page").text(path)
+    p.select("source_stem", F.format_string("%03d", "page_no").alias("page"), F.col(column).alias("value")).write.mode("overwrite").partitionBy("source_stem", "page").option("lineSep", "\u0000").text(path)
+
+
+def write_opinions(opinions: DataFrame, path: str) -> None:
+    """A directory slug=<slug> with the JSON object of each (slug, payload); read_opinions reads it."""
+    opinions.select("slug", F.col("payload").alias("value")).write.mode("overwrite").partitionBy("slug").option("lineSep", "\u0000").text(path)
+
+
+def by_count(df: DataFrame, *columns: str) -> DataFrame:
+    """Counts of each value, the most frequent first, ties by value."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *columns)
+
+
+def only(df: DataFrame, column: str, wanted: str | None) -> DataFrame:
+    """The rows whose column is among the comma-separated values; all rows without any."""
+    values = [v.strip() for v in (wanted or "").split(",") if v.strip()]
+    return df.where(F.col(column).cast("string").isin(values)) if values else df
+
+
+def preview(df: DataFrame, n: int = 3) -> str:
+    """Dry run: the schema and the first rows of what a sink would write; nothing is written."""
+    return df._jdf.schema().treeString() + "\n".join(json.dumps(json.loads(x), ensure_ascii=False) for x in df.limit(n).toJSON().collect())
 
 
 def write_csv_report(pages: DataFrame, path: str) -> None:
@@ -88,8 +139,10 @@ def write_csv_report(pages: DataFrame, path: str) -> None:
 
 
 def markdown_table(df: DataFrame, title: str, most: int = 1000) -> str:
-    """Render an aggregate (a few rows) on the driver."""
-    rows = df.limit(most).collect()
+    """Render an aggregate on the driver. Over `most` rows are refused: nothing is left out of a report."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of over {most} rows: aggregate it first")
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
     return f"## {title}\n\n{head}\n" + "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in rows)
 
@@ -149,5 +202,57 @@ class VectorTable:
         return n
 
 
+class Rejected(RuntimeError):
+    """A request that is wrong in itself (4xx): it is not sent again."""
+
+
+#: Records in a request, attempts for each, and the seconds before the second.
+BATCH, ATTEMPTS, FIRST_WAIT = 90, 4, 2
+
+
+def send_batch(records: list[dict], send, sleep=time.sleep) -> int:
+    """send(records), again after 2, 4 and 8 seconds when it fails, but not when it is Rejected. Returns the attempts."""
+    for attempt in range(1, ATTEMPTS + 1):
+        try:
+            send(records)
+            return attempt
+        except Rejected:
+            raise
+        except Exception:
+            if attempt == ATTEMPTS:
+                raise
+            sleep(FIRST_WAIT * 2 ** (attempt - 1))
+    return ATTEMPTS
+
+
+def upsert_remote(records: DataFrame, send, batch: int = BATCH) -> DataFrame:
+    """Send records to a store outside Spark in batches, from the tasks that hold them. Ids make a repeated task harmless.
+
+    Returns batches and attempts of each task."""
+
+    def run(frames):
+        batches = attempts = 0
+        held: list[dict] = []
+        for f in frames:
+            for r in f.to_pylist():
+                held.append(r)
+                if len(held) == batch:
+                    attempts, batches, held = attempts + send_batch(held, send), batches + 1, []
+        if held:
+            attempts, batches = attempts + send_batch(held, send), batches + 1
+        yield pa.RecordBatch.from_pydict({"batches": [batches], "attempts": [attempts]}, schema=pa.schema([("batches", pa.int64()), ("attempts", pa.int64())]))
+
+    return records.mapInArrow(run, "batches long, attempts long")
+
+
+def wait_ready(ready, most_seconds: int = 60, sleep=time.sleep) -> int:
+    """Poll once a second until ready() holds. Returns the seconds waited."""
+    for waited in range(most_seconds + 1):
+        if ready():
+            return waited
+        sleep(1)
+    raise TimeoutError(f"not ready after {most_seconds} seconds")
+
+
 def usable_text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
