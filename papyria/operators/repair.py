@@ -16,7 +16,7 @@ SPEC = "parent string, absorbed array<string>, placeholders array<int>, kind str
 
 def reclassify(docs: DataFrame, pages: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs and pages with the kinds of (doc_id, new_kind), and the ids of kinds that no document has."""
-    k = F.broadcast(kinds.select("doc_id", "new_kind"))
+    k = F.broadcast(kinds.groupBy("doc_id").agg(F.max("new_kind").alias("new_kind")))  # an id that is named twice counts once
     d = docs.join(k, "doc_id", "left").withColumn("kind", F.coalesce("new_kind", "kind")).drop("new_kind").select(*docs.columns)
     known = k.join(docs.select("doc_id"), "doc_id", "left_semi")
     p = pages.join(F.broadcast(known), "doc_id", "left").withColumn("doc_kind", F.coalesce("new_kind", "doc_kind")).drop("new_kind").select(*pages.columns)
@@ -53,7 +53,7 @@ def merge_documents(docs: DataFrame, pages: DataFrame, specs: DataFrame) -> tupl
     source = docs.select(F.col("doc_id").alias("parent"), "source_stem")
     merged = merged.join(source, "parent").select(
         "source_stem", F.col("parent").alias("doc_id"), "kind", "page_nos", F.size("page_nos").alias("page_count"), "first_template", F.coalesce("case_nums", t.none()).alias("case_nums"), "note",
-        F.array_sort(F.array_intersect("page_nos", "placeholders")).alias("withheld_page_nos"),
+        F.array_sort("placeholders").alias("withheld_page_nos"),
     )
     dead = gone.select("doc_id").unionByName(active.select(F.col("parent").alias("doc_id"))).distinct()
     return docs.join(F.broadcast(dead), "doc_id", "left_anti").unionByName(merged, allowMissingColumns=True), out

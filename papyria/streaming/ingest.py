@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .. import fixed
 from ..operators.clean import clean_pages, template_of
 from ..operators.group import with_signals
 from ..sources.tables import PAGE, VectorTable
@@ -39,7 +40,6 @@ def upsert_stream(records: DataFrame, table: VectorTable, namespace: str, checkp
 
 DECIDED = "source_stem string, page_no int, doc_id string, doc_kind string, doc_page_index int"
 _STATE = "n int, kind string, cases string, prev_mid boolean, at int"
-_KINDS = {"4-750": "deletion-sheet", "FD-36": "teletype", "FD-36-cont": "teletype-cont", "FD-350": "newspaper", "FD-xxx": "form"}
 
 
 def _continues(p: dict, kind: str | None, cases: set[str], prev_mid: bool) -> bool:
@@ -53,7 +53,7 @@ def _continues(p: dict, kind: str | None, cases: set[str], prev_mid: bool) -> bo
     if template == "FD-36-cont":
         return kind in ("teletype", "teletype-cont", "loose")
     if p["page_n"]:
-        return kind in ("teletype", "teletype-cont", "newspaper", "loose") and not (here and cases and not here & cases)
+        return kind in fixed.CONTINUATION_COMPATIBLE and not (here and cases and not here & cases)
     if p["cont"]:
         return kind in ("newspaper", "loose")
     if p["header"]:
@@ -72,7 +72,7 @@ def decide(pages: Iterator[dict], state: tuple) -> tuple[list[tuple], tuple]:
             at += 1
         else:
             n, at, cases = n + 1, 1, set(p["cases"])
-            kind = "cover" if p["cover"] and p["template"] != "4-750" else _KINDS.get(p["template"], "loose")
+            kind = "cover" if p["cover"] and p["template"] != "4-750" else fixed.DOC_KINDS.get(p["template"], "loose")
         prev_mid = bool(p["ends_mid"])
         out.append((p["page_no"], n, kind, at))
     return out, (n, kind, cases, prev_mid, at)
