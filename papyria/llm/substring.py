@@ -4,26 +4,30 @@ Pass 0 writes the texts, as words joined by one blank, in compressed blocks of a
 sees the same blocks. Pass 1: each block makes a partition sketch, sparse and saturating at two, of the count-min cells of its
 windows; sketches are cut by cell range into shards, merged for each shard, and the answer to a block is one bit for
 each cell that it named: is the estimated count two or more? A cell overestimates, so no repeated window is
-lost. Pass 2: only windows so estimated are grouped exactly, by a 64-bit hash within shards of a second hash; each
+lost. Pass 2: only windows so estimated are grouped exactly, by 128 bits of two independent hashes of their bytes; each
 block names each distinct window once with its first document, and gets back one bit: is that the first of all?
 Pass 3 removes words and digests what is left.
 
 The number of shards follows the number of windows, so a merging task's memory does not grow; a window of a third of all
-documents is one entry for each block. Windows of equal hashes (64 bits, and their shard) count as equal.
+documents is one entry for each block. Windows of equal hashes count as equal: at 10 ** 13 different windows two share their 128
+bits with a chance of 10 ** -13.
 
 Defined results: a null or blank text has no words and keeps ''; texts of fewer words than the window lose nothing; rows
-without doc_id come after all others; rows that share a doc_id are separate documents, the earlier block first; an
+without doc_id come after all others; rows that share a doc_id, or have none, are separate documents in the order of a hash of
+their words, so the result does not depend on how the input is cut into files; a very long text is one block and read whole; an
 empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,31 +36,30 @@ from pyspark.sql import functions as F
 from .common import map_arrow, shared_path, slices, small_batches
 from .windows import Buffer, open_ints, pack_ints
 
-_LAST = (1 << 63) - 1
 #: Windows for each shard and cells for each window: a unique window is taken for a repeated one about once in 8.
 SHARD_WINDOWS, CELLS = 1 << 22, 8
 
 
 def write_blocks(docs: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """block long, windows long, ids binary, texts binary; documents ascend by id within a block."""
+    """block long, windows long, ids binary (see Ids), texts binary; documents ascend within a block."""
     kinds = pa.schema([("block", pa.int64()), ("windows", pa.int64()), ("ids", pa.binary()), ("texts", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        held: list[tuple[int, bytes, int]] = []
+        held: list[tuple[tuple[bool, int, int], bytes, int]] = []
         size = 0
 
         def block() -> pa.RecordBatch:
             held.sort(key=lambda x: x[0])
             packed = zstandard.ZstdCompressor(level=3).compress(b"".join(t + b"\n" for _, t, _ in held))
-            cols = (number, sum(max(0, n - window + 1) for _, _, n in held), np.array([d for d, _, _ in held], "<i8").tobytes(), packed)
+            cols = (number, sum(max(0, n - window + 1) for _, _, n in held), Ids.packed([k for k, _, _ in held]), packed)
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds.types)], schema=kinds)
 
         for batch in (s for b in batches for s in slices(b, block_bytes)):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 t = b" ".join(words)
-                held.append((_LAST if doc is None else doc, t, len(words)))
+                held.append(((doc is None, doc or 0, xxhash.xxh64_intdigest(t)), t, len(words)))
                 size += len(t)
                 if size >= block_bytes:
                     yield block()
@@ -70,6 +73,23 @@ def write_blocks(docs: DataFrame, window: int, block_bytes: int) -> DataFrame:
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
+class Ids:
+    """A block's documents: id, whether there is none, and the hash of the words that orders equal ids."""
+
+    def __init__(self, packed: bytes):
+        n = len(packed) // 17
+        self.null = np.frombuffer(packed, np.uint8, n).astype(bool)
+        self.id, self.tie = np.frombuffer(packed, "<i8", n, n), np.frombuffer(packed, "<u8", n, 9 * n)
+
+    @staticmethod
+    def packed(keys: list[tuple[bool, int, int]]) -> bytes:
+        null, ids, ties = zip(*keys)
+        return np.array(null, np.uint8).tobytes() + np.array(ids, "<i8").tobytes() + np.array(ties, "<u8").tobytes()
+
+    def part(self, used: np.ndarray) -> bytes:
+        return self.null[used].astype(np.uint8).tobytes() + self.id[used].tobytes() + self.tie[used].tobytes()
+
+
 def _shard_bounds(shards: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(shards, np.arange(n + 1))
 
@@ -101,14 +121,15 @@ class Block:
         return np.flatnonzero(flag[place])
 
     def named(self, some: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of the windows in some: shard and hash of each distinct one, ascending; its first window; the group of each."""
+        """Of the windows in some: shard and both hashes of each distinct one, ascending; its first window; the group of each."""
         h2 = self.buffer.hashes(self.first[some], self.last[some], 1) if len(some) else np.zeros(0, np.uint64)
         shard = ((h2 >> np.uint64(8)) % np.uint64(self.shards)).astype(np.int64)
         h1 = self.h1[some]
-        order = np.lexsort((some, h1, shard))
+        order = np.lexsort((some, h2, h1, shard))
+        a, b = h1[order], h2[order]
         new = np.ones(len(order), bool)
-        new[1:] = (h1[order][1:] != h1[order][:-1]) | (shard[order][1:] != shard[order][:-1])
-        return shard[order][new], h1[order][new], some[order][new], order, np.cumsum(new) - 1
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])  # the shard follows from the second hash
+        return shard[order][new], a[new], b[new], some[order][new], order, np.cumsum(new) - 1
 
     def text_of(self, windows: np.ndarray) -> np.ndarray:
         return np.searchsorted(np.cumsum(self.many), windows, side="right")
@@ -128,23 +149,26 @@ def merge_sketches(sent: pd.DataFrame) -> pd.DataFrame:
 
 
 def merge_windows(sent: pd.DataFrame) -> pd.DataFrame:
-    """One shard: of each window, the entry of the smallest document (then block) is the first."""
-    hashes, docs, owner = [], [], []
+    """One shard: of each window, the entry of the first document is the first (of equal rows, that of the earlier block)."""
+    h1, h2, docs, owner, sizes = [], [], [], [], []
     for i, (body, more) in enumerate(zip(sent["body"], sent["more"])):
-        n = int.from_bytes(more[:4], "little")
-        ids = open_ints(more[4 : 4 + n], ascending=True)
-        hashes.append(open_ints(body, ascending=True))
-        docs.append(ids[open_ints(more[4 + n :]).astype(np.int64)])
-        owner.append(np.full(len(hashes[-1]), i, np.int32))
-    h, d, o = np.concatenate(hashes), np.concatenate(docs), np.concatenate(owner)
+        n, m = struct.unpack_from("<II", more)
+        ids, place = Ids(more[8 : 8 + n]), open_ints(more[8 + n + m :]).astype(np.int64)
+        h1.append(open_ints(body, ascending=True))
+        h2.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(more[8 + n : 8 + n + m]), "<u8"))
+        docs.append((ids.null[place], ids.id[place], ids.tie[place]))
+        owner.append(np.full(len(place), i, np.int32))
+        sizes.append(len(place))
+    a, b, o = np.concatenate(h1), np.concatenate(h2), np.concatenate(owner)
+    null, doc, tie = (np.concatenate(c) for c in zip(*docs))
     rank = np.argsort(np.argsort(sent["block"].to_numpy(), kind="stable"))
-    order = np.lexsort((rank[o], d, h))
+    order = np.lexsort((rank[o], tie, doc, null, b, a))
     first = np.ones(len(order), bool)
-    first[1:] = h[order][1:] != h[order][:-1]
+    first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
     out = np.zeros(len(order), bool)
     out[order] = first
-    ends = np.cumsum([len(x) for x in hashes])
-    return _answers(sent, [np.packbits(out[b - len(x) : b]).tobytes() for x, b in zip(hashes, ends.tolist())])
+    ends = np.cumsum(sizes).tolist()
+    return _answers(sent, [np.packbits(out[y - x : y]).tobytes() for x, y in zip(sizes, ends)])
 
 
 _SENT = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("body", pa.binary()), ("more", pa.binary())])
@@ -156,11 +180,6 @@ def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64]), _SENT.types)], schema=_SENT)
 
 
-def _signed(ids: bytes) -> np.ndarray:
-    """Ids as unsigned numbers of the same order."""
-    return np.frombuffer(ids, "<i8").astype(np.uint64) ^ np.uint64(1 << 63)
-
-
 def substring_dedup(docs: DataFrame, window: int = 20, block_bytes: int = 4 << 20, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept: the words that stay, joined by one blank)."""
     blocks = write_blocks(docs, window, block_bytes)
@@ -184,14 +203,14 @@ def substring_dedup(docs: DataFrame, window: int = 20, block_bytes: int = 4 << 2
         for batch in batches:
             for number, ids, texts, one in zip(*(batch.column(c) for c in ("block", "ids", "texts", "one"))):
                 b = Block(texts.as_py(), window, shards)
-                shard, h, where, _, _ = b.named(b.repeated(read_answers(one.as_py())))
-                owner, all_ids = b.text_of(where), _signed(ids.as_py())
+                shard, h1, h2, where, _, _ = b.named(b.repeated(read_answers(one.as_py())))
+                owner, all_ids = b.text_of(where), Ids(ids.as_py())
                 bounds, out = _shard_bounds(shard, shards), []
                 for s, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                     if y > x:
                         used, rank = np.unique(owner[x:y], return_inverse=True)
-                        named = pack_ints(all_ids[used], ascending=True)
-                        out.append((s, number.as_py(), pack_ints(h[x:y], ascending=True), len(named).to_bytes(4, "little") + named + pack_ints(rank)))
+                        named, second = all_ids.part(used), zstandard.ZstdCompressor(level=1).compress(h2[x:y].astype("<u8").tobytes())
+                        out.append((s, number.as_py(), pack_ints(h1[x:y], ascending=True), struct.pack("<II", len(named), len(second)) + named + second + pack_ints(rank)))
                 yield from _rows(out)
 
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * with_text
@@ -201,7 +220,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, block_bytes: int = 4 << 2
         for batch in batches:
             for ids, texts, one, two in zip(*(batch.column(c) for c in ("ids", "texts", "one", "two"))):
                 b = Block(texts.as_py(), window, shards)
-                shard, _, where, order, group = b.named(some := b.repeated(read_answers(one.as_py())))
+                shard, _, _, where, order, group = b.named(some := b.repeated(read_answers(one.as_py())))
                 bounds, first = _shard_bounds(shard, shards), np.zeros(len(where), bool)
                 for s, bits in read_answers(two.as_py()).items():
                     x, y = bounds[s], bounds[s + 1]
@@ -213,7 +232,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, block_bytes: int = 4 << 2
                 np.add.at(change, dead, 1)
                 np.add.at(change, dead + window, -1)
                 stays = np.cumsum(change[:-1]) == 0
-                yield _digests(b.buffer, _signed(ids.as_py()), stays, with_text, kinds)
+                yield _digests(b.buffer, Ids(ids.as_py()), stays, with_text, kinds)
 
     small_batches(spark)
     sent = blocks.select("block", "texts").mapInArrow(sketch, _SENT_SQL)
@@ -227,10 +246,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, block_bytes: int = 4 << 2
     return done.select("ids", "texts", "one", "two").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
-def _digests(buffer: Buffer, ids: np.ndarray, stays: np.ndarray, with_text: bool, kinds: pa.Schema) -> pa.RecordBatch:
+def _digests(buffer: Buffer, ids: Ids, stays: np.ndarray, with_text: bool, kinds: pa.Schema) -> pa.RecordBatch:
     bounds = buffer.first_word.tolist()
     removed = np.concatenate(([0], np.cumsum(~stays))).tolist()
-    names = (ids ^ np.uint64(1 << 63)).view(np.int64).tolist()
+    names = [None if z else d for z, d in zip(ids.null.tolist(), ids.id.tolist())]
     starts, ends = buffer.starts, buffer.ends
     rows = []
     for doc, x, y in zip(names, bounds[:-1], bounds[1:]):
@@ -242,5 +261,5 @@ def _digests(buffer: Buffer, ids: np.ndarray, stays: np.ndarray, with_text: bool
         else:  # runs of words that stay are whole byte ranges
             edge = np.flatnonzero(np.diff(stays[x:y].astype(np.int8), prepend=0, append=0))
             text = b" ".join(buffer.data[starts[x + a] : ends[x + b - 1]] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()))
-        rows.append((None if doc == _LAST else doc, y - x, gone, hashlib.sha256(text).hexdigest()) + (text.decode("utf-8", "replace"),) * with_text)
+        rows.append((doc, y - x, gone, hashlib.sha256(text).hexdigest()) + (text.decode("utf-8", "replace"),) * with_text)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.types)], schema=kinds)

@@ -194,6 +194,12 @@ def test_substring_dedup(spark, docs, size, monkeypatch):
         assert substring.substring_dedup(cases.empty(spark)).count() == 0
         odd = spark.createDataFrame([(None, "a " * 30), (1, "a " * 30), (1, "b")], "doc_id long, text string")
         assert sorted(r["n_removed"] for r in rows_of(substring.substring_dedup(odd, with_text=True))) == [0, 29, 30]
+        long = " ".join(f"w{i}" for i in range(100_000))
+        last = [((1 << 63) - 1, "b " + long), (None, "c " + long), (7, "a " + long), (7, long + " z"), (-5, "unlike " * 3)]
+        for parts in (1, 4):  # the same, however the rows are dealt to blocks
+            got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in rows_of(substring.substring_dedup(spark.createDataFrame(last, "doc_id long, text string").repartition(parts)))]
+            assert sorted(x[1:] for x in got if x[0] != 7) == [(3, 0), (100_001, 100_000), (100_001, 100_000)] and {x[0] for x in got} == {None, 7, -5, (1 << 63) - 1}
+            assert sorted(x[2] for x in got if x[0] == 7) == [0, 100_000]
 
 
 def test_substring_merging_over_many_shards():
