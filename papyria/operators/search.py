@@ -105,8 +105,11 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, spec: di
     out = None
     for i in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        pairs = filtered(vectors, spec).join(F.broadcast(part), on=(F.col(id_column) != F.col("query_id")) if exclude_same_id else F.lit(True))
-        s = pairs.select("query_id", id_column, t.cosine(F.col("embedding"), F.col("q")).alias("score")).where("score is not null")
+        # each vector's length is computed once, so a pair costs one product
+        rows = filtered(vectors, spec).select(id_column, F.col("embedding").cast("array<double>").alias("__v")).withColumn("__n", t.length_of(F.col("__v")))
+        asked = F.broadcast(part.select("query_id", F.col("q").cast("array<double>").alias("__q")).withColumn("__m", t.length_of(F.col("__q"))))
+        pairs = rows.join(asked, on=(F.col(id_column) != F.col("query_id")) if exclude_same_id else F.lit(True))
+        s = pairs.select("query_id", id_column, F.try_divide(t.dot(F.col("__v"), F.col("__q")), F.col("__n") * F.col("__m")).alias("score")).where("score is not null")
         r = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_column))).where(F.col("rank") <= k)
         out = r if out is None else out.unionByName(r)
     return out

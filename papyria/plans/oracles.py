@@ -100,7 +100,7 @@ _FACTS = {"dates": fixed.DATE_PATTERNS, "dollars": [fixed.DOLLAR], "case_numbers
 
 def _flag(kind: str) -> str:
     lost = f"list_sort(list_filter({found('raw_facts', *_FACTS[kind])}, lambda x: NOT list_contains({found('clean_facts', *_FACTS[kind])}, x)))"
-    return f"CASE WHEN len({lost}) > 0 THEN '{kind}:' || array_to_string({lost}, ',') END"
+    return f"CASE WHEN len({lost}) > 0 THEN '{kind}:' || array_to_string({lost}, ';') END"
 
 
 #: clean: every page with what the cleaner says of it.
@@ -257,6 +257,15 @@ n1 AS (SELECT source_stem, page_no, 'furniture' AS rule, unnest(regexp_extract_a
 RESIDUAL_NOISE = NOISE + " SELECT source_stem, page_no, rule, count(*) AS times, CAST(sum(length(x)) AS BIGINT) AS chars FROM n1 GROUP BY 1, 2, 3"
 AUDIT_COUNTS = NOISE + """ SELECT count(*) AS pages, (SELECT count(*) FROM (SELECT DISTINCT source_stem, page_no FROM lost)) AS with_lost_lines, (SELECT count(*) FROM (SELECT DISTINCT source_stem, page_no FROM n1)) AS with_noise,
  count(*) FILTER (flags <> '') AS with_flags, count(*) FILTER (routed) AS routed FROM clean"""
+CHUNK_LISTINGS = CHUNKS + """, a AS (SELECT *, len(regexp_extract_all(text, '\\[REDACTED\\]')) / token_estimate AS share, length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS odd, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(text) AS ratio FROM chunks),
+ranked AS (SELECT 'noisiest' AS listing, chunk_id, row_number() OVER (ORDER BY ratio, chunk_id) AS place FROM a UNION ALL SELECT 'redacted', chunk_id, row_number() OVER (ORDER BY share DESC, chunk_id) FROM a
+ UNION ALL SELECT 'non-ascii', chunk_id, row_number() OVER (ORDER BY odd DESC, chunk_id) FROM a WHERE odd > 20 UNION ALL SELECT 'tiny', chunk_id, row_number() OVER (ORDER BY token_estimate, chunk_id) FROM a WHERE token_estimate < 30)
+SELECT listing, chunk_id FROM ranked WHERE place <= CASE listing WHEN 'noisiest' THEN 10 WHEN 'redacted' THEN 8 WHEN 'non-ascii' THEN 5 ELSE 1000000000 END
+UNION ALL SELECT 'missing ' || field, CAST(n AS VARCHAR) FROM (SELECT count(*) FILTER (coalesce(chunk_id, '') = '') AS chunk_id, count(*) FILTER (coalesce(doc_id, '') = '') AS doc_id, count(*) FILTER (coalesce(source_stem, '') = '') AS source_stem, count(*) FILTER (coalesce(doc_kind, '') = '') AS doc_kind, count(*) FILTER (coalesce(text, '') = '') AS text FROM chunks) UNPIVOT (n FOR field IN (chunk_id, doc_id, source_stem, doc_kind, text))"""
+_NEAR_FACT = "strpos(raw_text, fact)"
+PAGE_LISTINGS = f"""{CLEAN}, lost1 AS (SELECT source_stem, page_no, raw_text, split_part(x, ':', 1) AS kind, unnest(string_split(substr(x, strpos(x, ':') + 1), ';')) AS fact FROM (SELECT source_stem, page_no, raw_text, unnest(string_split(flags, '|')) AS x FROM clean WHERE flags <> ''))
+SELECT source_stem, page_no, 'unknown' AS listing, array_to_string(list_slice(list_filter(list_transform({lines('raw_text')}, lambda x: {strip('x')}), lambda y: y <> ''), 1, 5), '|') AS what FROM clean WHERE bucket = 'clean' AND template = 'unknown'
+UNION ALL SELECT source_stem, page_no, kind, fact || ' in ' || translate(substr(raw_text, greatest(1, {_NEAR_FACT} - 40), {_NEAR_FACT} + length(fact) + 40 - greatest(1, {_NEAR_FACT} - 40)), chr(10), ' ') FROM lost1"""
 STAMP_LINES = f"WITH f AS ({fx.FORMS}) SELECT doc_no, count(*) AS stamps FROM (SELECT doc_no, unnest({lines('raw_text')}) AS line FROM f) WHERE {is_stamp('line')} GROUP BY 1"
 LINE_CLASSES = f"WITH f AS ({fx.FORMS}) SELECT doc_no, {line_class('line')} AS class, count(*) AS n FROM (SELECT doc_no, unnest({lines('raw_text')}) AS line FROM f) WHERE {strip('line')} <> '' GROUP BY 1, 2"
 EXEMPTIONS = f"WITH f AS ({fx.FORMS}) SELECT doc_no, array_to_string({exemptions('raw_text')}, ',') AS exemptions FROM f"

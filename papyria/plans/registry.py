@@ -229,7 +229,7 @@ def stamp_lines(spark, sf_dir):
 def clean_pages(spark, sf_dir):
     """The whole cleaner on the form pages."""
     entries = F.transform(F.map_entries("clipping"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    flags = F.transform("cleaning_flags", lambda x: F.concat(x["type"], F.lit(":"), F.array_join(F.array_sort(x["lost"]), ",")))
+    flags = F.transform("cleaning_flags", lambda x: F.concat(x["type"], F.lit(":"), F.array_join(F.array_sort(x["lost"]), ";")))
     return _cleaned(spark, sf_dir).select(
         "source_stem", "page_no", "template", "template_confidence", F.col("routed_to_missing_info").alias("routed"), F.coalesce("deletion.reference", F.lit("")).alias("reference"), F.coalesce(text_list("deletion.exemptions"), F.lit("")).alias("exemptions"),
         F.coalesce(text_list(entries, "|"), F.lit("")).alias("clipping"), "clean_text", "boilerplate_lines_removed", "redactions_inserted", text_list(flags, "|").alias("flags"),
@@ -321,6 +321,26 @@ def chunk_metadata_counts(spark, sf_dir):
     return audit.metadata_counts(_chunks(spark, sf_dir)[1])
 
 
+@query(sql.CHUNK_LISTINGS)
+def chunk_listings(spark, sf_dir):
+    """The ten noisiest, eight most redacted and five most non-ASCII chunks, all tiny ones, and missing fields."""
+    c = _chunks(spark, sf_dir)[1]
+    lists = {"noisiest": audit.noisiest(c), "redacted": audit.most_redacted(c), "non-ascii": audit.most_non_ascii(c), "tiny": audit.tiny_chunks(c)}
+    out = audit.missing_fields(c).select(F.concat(F.lit("missing "), "field").alias("listing"), F.col("missing").cast("string").alias("chunk_id"))
+    for name, d in lists.items():
+        out = out.unionByName(d.select(F.lit(name).alias("listing"), "chunk_id"))
+    return out
+
+
+@query(sql.PAGE_LISTINGS)
+def page_listings(spark, sf_dir):
+    """First lines of pages without a template, and lost facts with what stands around them."""
+    p = staged(_cleaned(spark, sf_dir), "clean")
+    unknown = audit.unknown_templates(p).select("source_stem", "page_no", F.lit("unknown").alias("listing"), text_list("first_lines", "|").alias("what"))
+    lost = audit.flagged(p).select("source_stem", "page_no", F.col("type").alias("listing"), F.concat("fact", F.lit(" in "), "context").alias("what"))
+    return unknown.unionByName(lost)
+
+
 @query(sql.COVERAGE_GAP)
 def coverage_gap(spark, sf_dir):
     """The noise pages are documents without a chunk."""
