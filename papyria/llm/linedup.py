@@ -199,7 +199,7 @@ def _marked(docs: DataFrame, min_docs: int, min_chars: int, keep_first: bool, ba
     gone = stored(hits.groupBy("__ld_row").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("__ld_gone")), "line-places")
     d = with_maybe(rows.drop("__ld_keys", "__ld_batch"), "__ld_row", gone.select("__ld_row"))
     sure = d.where("not __maybe").withColumn("__ld_gone", F.lit(None).cast("array<int>"))
-    touched = d.where("__maybe").join(gone, "__ld_row", "left")
+    touched = d.where("__maybe").join(gone.hint("merge"), "__ld_row", "left")
     d = sure.unionByName(touched).withColumn("__ld_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
     return d.drop("__maybe", "__ld_row")
 
