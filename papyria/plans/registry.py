@@ -366,11 +366,10 @@ def nearest_rank_quartiles(spark, sf_dir):
 # ------------------------------------------------------------------ html, repair, index
 @query()
 def html_sections(spark, sf_dir):
-    """Sections and chunks of pages, with <h1> as the heading tag."""
+    """Sections and chunks of the pages' articles, with <h1> as the heading tag."""
     p = fx.read(spark, sf_dir, "pages")
-    body = F.regexp_replace(F.regexp_replace("html", r"(?s)^.*?<article>", "<div>"), r"(?s)</article>.*$", "</div>")
-    o = p.select(F.col("page_id").cast("string").alias("slug"), body.alias("html"), F.lit(1).alias("start_page"), F.lit("?").alias("cite"), F.lit(None).cast("string").alias("docket"))
-    return opinions.opinion_chunks(o, heading="h1")
+    o = p.select(F.col("page_id").cast("string").alias("slug"), "html", F.lit(1).alias("start_page"), F.lit("?").alias("cite"), F.lit(None).cast("string").alias("docket"))
+    return opinions.opinion_chunks(o, heading="h1", root="article")
 
 
 def _as_docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
