@@ -10,12 +10,12 @@ model and dictionaries (some 200 KB, whatever the input) are broadcast.
 
 Defined results: a null or empty text has difference 0, and so the score that the curve gives at 0; with one class only, or
 none, every score is that class's share (0.5 without labels); labels that are null, or that contradict each other for one
-document, are not learned from; repeated documents are separate rows; an empty table gives no rows.
+document, are not learned from; repeated documents are separate rows; a very long text is scored whole, piece by piece; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,11 +38,11 @@ class Model:
     level: int
 
 
-_ready: dict[int, tuple] = {}
+_ready: dict[tuple, tuple] = {}
 
 
 def _compressors(model: Model):
-    key = zlib.crc32(model.good + b"|" + model.bad)
+    key = (model.good, model.bad, model.level)
     if key not in _ready:
         _ready.clear()
         _ready[key] = tuple(zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (model.good, model.bad))
