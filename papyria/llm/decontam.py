@@ -1,8 +1,8 @@
 """Benchmark decontamination with an Aho-Corasick automaton over normalised benchmark windows.
 
 Text is lower-cased (A-Z) and read as words, [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ . A window is `window` consecutive words of
-an item; a shorter item with words is one window of its own. The automaton's letters are the numbers of the benchmark's
-words, so a match gives places of words at once, and those are mapped to code point offsets in the original text.
+an item; a shorter item with words is one window of its own. The automaton reads codes of the benchmark's words, all of one
+length, so a match gives places of words at once, and those are mapped to code point offsets in the original text.
 
 A benchmark of up to `block_windows` distinct windows is one automaton, and each text is scanned once. A larger one comes to
 the driver in blocks of that size; every `held` blocks are one pass over the documents, whose result is written, so that
@@ -17,6 +17,7 @@ uncontaminated unchanged. Only doc_id, text and item_id, text are read.
 from __future__ import annotations
 
 import hashlib
+import math
 import pickle
 import re
 import uuid
@@ -60,22 +61,30 @@ def blocks_of(benchmark: DataFrame, window: int, block_windows: int) -> Iterator
 
 
 class Automaton:
+    """Each word of the benchmark is a code of a fixed length, whose letters are of another alphabet at each place: a node of the
+    automaton has few branches however many words there are, and a match can't begin or end inside a word."""
+
     def __init__(self, windows: Windows):
-        self.number: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for words, items in windows.items():
-            self.automaton.add_word(tuple(self.number.setdefault(w, len(self.number) + 1) for w in words), (len(words), items))
+        words = dict.fromkeys(w for window in windows for w in window)
+        self.length = 2 if len(words) <= 120**2 else 3
+        base = max(2, math.ceil(len(words) ** (1 / self.length)) + 1)
+        self.code = {w: "".join(chr(1 + place * base + i // base**place % base) for place in range(self.length)) for i, w in enumerate(words)}
+        self.unknown = "\0" * self.length
+        self.automaton = ahocorasick.Automaton()
+        for window, items in windows.items():
+            self.automaton.add_word("".join(map(self.code.__getitem__, window)), (len(window), items))
         self.automaton.make_automaton()
 
     def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
         """Ranges [a, b) of words hit, merged and ascending, and the items."""
-        number, ranges, items = self.number.get, [], set()
-        for end, (n, names) in self.automaton.iter(tuple([number(w, 0) for w in words])):
+        code, unknown, ranges, items = self.code.get, self.unknown, [], set()
+        for end, (n, names) in self.automaton.iter("".join([code(w, unknown) for w in words])):
             items.update(names)
-            start = end + 1 - n
+            stop = (end + 1) // self.length
+            start = stop - n
             while ranges and ranges[-1][1] >= start:
                 start = min(start, ranges.pop()[0])
-            ranges.append([start, end + 1])
+            ranges.append([start, stop])
         return ranges, items
 
 

@@ -398,3 +398,17 @@ def test_buckets_grow_with_the_text(spark, options, monkeypatch):
     d = by_id(rules.quality_rules(docs, labels, **options))
     # the bad word and its pair are never in the target
     assert d[100]["ngram_score"] > 0 > d[101]["ngram_score"] + 3
+
+
+@pytest.mark.parametrize("size", [3, 50, 20_000])
+def test_automaton_over_word_codes(size):
+    """Windows of one to three words, over vocabularies that take codes of two and of three letters."""
+    rng = random.Random(size)
+    words = [b"w%d" % i for i in range(size)]
+    windows_ = {tuple(rng.choice(words) for _ in range(rng.choice([1, 2, 3]))): ["x"] for _ in range(15_000 if size > 1000 else 12)}
+    a = decontam.Automaton(windows_)
+    assert a.length == (3 if len(a.code) > 14_400 else 2) and len(set(a.code.values())) == len(a.code)
+    for _ in range(100):
+        text = [rng.choice([*words[:500], b"unknown"]) for _ in range(40)]
+        hit = {p for n in (1, 2, 3) for j in range(len(text) - n + 1) if tuple(text[j : j + n]) in windows_ for p in range(j, j + n)}
+        assert {p for x, y in a.scan(text)[0] for p in range(x, y)} == hit
