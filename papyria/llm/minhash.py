@@ -88,15 +88,10 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
     return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
-#: Nodes with over this share of all links are 20,000 at most; what is joined to them is broadcast.
-HOT_SHARE = 20_000
-
-
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """node, component (the smallest node that edges a - b reach): alternating large-star and small-star.
 
-    Each round is written to the shared folder, and the one before deleted; only a count and a checksum reach the driver. The
-    links of a hub meet its smallest neighbour by a broadcast, so they need not come to one task."""
+    Each round is written to the shared folder, and the one before deleted; only a count and a checksum reach the driver."""
     spark = edges.sparkSession
 
     def written(df: DataFrame) -> tuple[DataFrame, str]:
@@ -104,28 +99,20 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         df.write.option("compression", "zstd").parquet(path)
         return spark.read.schema(df.schema).parquet(path), path
 
-    def lowest(links: DataFrame, low: DataFrame, most: int) -> DataFrame:
-        """links (a, b) with m, the value of low (c, m, n) for a."""
-        hot = F.col("n") > most
-        few, rest = F.broadcast(low.where(hot)), low.where(~hot).hint("merge")
-        other = links.join(few, F.col("a") == F.col("c"), "left_anti").join(rest, F.col("a") == F.col("c"))
-        return links.join(few, F.col("a") == F.col("c")).unionByName(other).select("a", "b", "m")
-
     now, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark, total = None, now.count()
+    mark = None
     for _ in range(most_rounds):
-        most = max(1000, total // HOT_SHARE)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("c"), F.least("m", "a").alias("m"), "n")
-        large = lowest(both.where("b > a"), low, most).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("c"), "m", "n")
-        small = lowest(large, low, most).select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("m").alias("y")), F.struct(F.col("a").alias("x"), F.col("m").alias("y")))).alias("e"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("m", "a").alias("m"))
+        large = both.where("b > a").join(low, F.col("a") == F.col("c")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), "m")
+        small = large.join(low, F.col("a") == F.col("c")).select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("m").alias("y")), F.struct(F.col("a").alias("x"), F.col("m").alias("y")))).alias("e"))
         old, (now, path) = path, written(small.select(F.greatest("e.x", "e.y").alias("a"), F.least("e.x", "e.y").alias("b")).where("a <> b").distinct())
         drop_path(spark, old)
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if seen == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        mark, total = seen, seen[0]
+        mark = seen
     raise RuntimeError("components did not settle")
 
 
@@ -222,6 +209,15 @@ def confirmed(docs: DataFrame, members: DataFrame, k: int, percent: int, star: b
     return map_arrow(dealt, confirm_star if star else confirm_all, "a long, b long")
 
 
+def _blocks(found: DataFrame, cluster: int) -> DataFrame:
+    """node, places: the pairs of blocks of its candidate cluster that a node takes part in."""
+    all_nodes = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    sizes = found.groupBy("component").agg((F.count("*") + 1).alias("n")).select(F.col("component").alias("cluster"), F.ceil(F.col("n") / cluster).cast("int").alias("g"))
+    mine = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
+    places = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda q: F.struct(F.col("cluster").alias("c"), F.least(q, F.col("p")).alias("i"), F.greatest(q, F.col("p")).alias("j"), F.lit(0).alias("o")).cast(PLACE))
+    return stored(all_nodes.join(sizes, F.col("component") == F.col("cluster")).withColumn("p", mine).select("node", places.alias("places")), "members")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, cluster: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
     sig = stored(signatures(docs, k, bands, rows), "signatures")
@@ -242,15 +238,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # what is left: buckets that hold more than one component
     where = ties.join(joined.select(F.col("node").alias("__n"), "component"), F.col("node") == F.col("__n"), "left").select("band", F.coalesce("component", "node").alias("component"))
     open_bands = where.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(F.col("band").alias("__b"))
-    rest = ties.join(open_bands, F.col("band") == F.col("__b"), "left_semi").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    found = components(rest, "candidates")
-    all_nodes = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
-    sizes = found.groupBy("component").agg((F.count("*") + 1).alias("n")).select(F.col("component").alias("cluster"), F.ceil(F.col("n") / cluster).cast("int").alias("g"))
-    mine = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
-    places = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda q: F.struct(F.col("cluster").alias("c"), F.least(q, F.col("p")).alias("i"), F.greatest(q, F.col("p")).alias("j"), F.lit(0).alias("o")).cast(PLACE))
-    members = stored(all_nodes.join(sizes, F.col("component") == F.col("cluster")).withColumn("p", mine).select("node", places.alias("places")), "members")
-    second = stored(confirmed(docs, members, k, percent, star=False), "pair-links")
-    final = components(first.unionByName(second), "linked")
+    rest = stored(ties.join(open_bands, F.col("band") == F.col("__b"), "left_semi").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "open-ties")
+    final = joined
+    if not rest.isEmpty():
+        second = stored(confirmed(docs, _blocks(components(rest, "candidates"), cluster), k, percent, star=False), "pair-links")
+        # what is joined already stays joined, as stars
+        final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), "linked")
     named = classes.join(final.select(F.col("node").alias("x"), "component"), F.col("node") == F.col("x"), "left").select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), F.coalesce("component", "node").alias("component"))
     d = sig.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("f1")).alias("f1"), "f2")
     d = d.join(named, (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")) & F.col("doc_id").isNotNull(), "left")
